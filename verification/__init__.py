@@ -1,6 +1,6 @@
 """Registered queries with their independent SQL counterparts."""
 
 from verification.registry import ORACLE, QUERIES
-from verification import cases_access, cases_graph  # noqa: F401
+from verification import cases_access, cases_graph, cases_rules, cases_signals  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
