@@ -12,6 +12,18 @@ S, B, D, I, L, TS = (
 STRINGS = T.ArrayType(S)
 
 
+def nested(columns: str) -> str:
+    """``a string, b array<int>`` as the nested type ``struct<a:string,b:array<int>>``."""
+    parts, depth, start = [], 0, 0
+    for position, char in enumerate(columns + ","):
+        depth += (char in "<(") - (char in ">)")
+        if char == "," and depth == 0:
+            name, kind = columns[start:position].strip().split(" ", 1)
+            parts.append(f"{name}:{kind.strip()}")
+            start = position + 1
+    return f"struct<{','.join(parts)}>"
+
+
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 

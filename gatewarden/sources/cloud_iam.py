@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gatewarden.functions import fixed_values as fixed
 from gatewarden.functions.scalars import contains_any, entity_id, iso_timestamp, starts_with_any
 from gatewarden.plans.joins import skew_join
-from gatewarden.schemas import Estate
+from gatewarden.schemas import Estate, nested
 from gatewarden.sources.canonical import conform
 
 SOURCE = "aws_iam"
@@ -32,15 +32,9 @@ ROLE = (
 POLICY = "Arn string, PolicyName string, PolicyVersionList array<struct<IsDefaultVersion:boolean,Document:string>>"
 
 
-def _as_struct(ddl: str) -> str:
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(ddl).simpleString()
-
-
 DOCUMENT = (
-    f"UserDetailList array<{_as_struct(USER)}>, GroupDetailList array<{_as_struct(GROUP)}>, "
-    f"RoleDetailList array<{_as_struct(ROLE)}>, Policies array<{_as_struct(POLICY)}>"
+    f"UserDetailList array<{nested(USER)}>, GroupDetailList array<{nested(GROUP)}>, "
+    f"RoleDetailList array<{nested(ROLE)}>, Policies array<{nested(POLICY)}>"
 )
 
 

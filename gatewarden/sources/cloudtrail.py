@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewarden.functions.scalars import as_of_lit, contains_any, fixed_map, iso_timestamp, starts_with_any
-from gatewarden.schemas import ACTIVITY_EVENT
+from gatewarden.schemas import ACTIVITY_EVENT, nested
 
 SOURCE = "aws_cloudtrail"
 
@@ -140,7 +140,7 @@ def read_archive(
     path and position; both are off by default.
     """
     reader = (
-        spark.read.schema(f"Records array<struct<{_colons(RECORD)}>>")
+        spark.read.schema(f"Records array<{nested(RECORD)}>")
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
     )
@@ -155,16 +155,10 @@ def read_archive(
     return records.select("record.*")
 
 
-def _colons(ddl: str) -> str:
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
-
-
 def file_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """One row: files that gave events and files that gave none (bad or empty)."""
     files = (
-        spark.read.schema(f"Records array<struct<{_colons(RECORD)}>>")
+        spark.read.schema(f"Records array<{nested(RECORD)}>")
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .json(path)
@@ -181,7 +175,7 @@ def read_dated_archive(spark: SparkSession, path: str, start: str, end: str) ->
     """Records of a folder tree ``day=YYYY-MM-DD/``, pruned by day and cut to [start, end]."""
     days = F.col("day").between(F.lit(start[:10]).cast("date"), F.lit(end[:10]).cast("date"))
     records = (
-        spark.read.schema(f"Records array<struct<{_colons(RECORD)}>>, day date")
+        spark.read.schema(f"Records array<{nested(RECORD)}>, day date")
         .option("multiLine", True)
         .option("basePath", path)
         .json(path)
@@ -216,12 +210,12 @@ def parse_lake_rows(rows: DataFrame) -> DataFrame:
 
 def parse_lookup_rows(rows: DataFrame) -> DataFrame:
     """Lookup results: the record is JSON text in ``CloudTrailEvent``."""
-    return rows.select(F.from_json("CloudTrailEvent", f"struct<{_colons(RECORD)}>").alias("r")).select("r.*")
+    return rows.select(F.from_json("CloudTrailEvent", f"{nested(RECORD)}").alias("r")).select("r.*")
 
 
 def parse_records(rows: DataFrame, column: str = "value") -> DataFrame:
     """One JSON record per row."""
-    return rows.select(F.from_json(column, f"struct<{_colons(RECORD)}>").alias("r")).select("r.*")
+    return rows.select(F.from_json(column, f"{nested(RECORD)}").alias("r")).select("r.*")
 
 
 # --- normalisation --------------------------------------------------------------------

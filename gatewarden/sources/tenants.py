@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gatewarden.functions.scalars import as_of_lit, entity_id, fixed_map
 from gatewarden.plans.joins import skew_join
 from gatewarden.plans.tables import literal_table
-from gatewarden.schemas import Estate, empty_table
+from gatewarden.schemas import Estate, empty_table, nested
 from gatewarden.sources.canonical import conform
 from gatewarden.sources.finding_steps import steps_of
 
@@ -23,12 +23,6 @@ VIOLATION = (
 )
 
 
-def _nested(ddl: str) -> str:
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(ddl).simpleString()
-
-
 RULE_COLUMNS = "type string, rule_id string, name string, regulation string, severity string, violation_class int"
 
 # =============================== health tenant ========================================
@@ -37,9 +31,9 @@ HEALTH = "healthcare"
 HEALTH_ROLE = "role string, actions array<string>, scope string, is_privileged boolean, description string"
 HEALTH_DOCUMENT = (
     "organization struct<facilities:array<struct<id:string,name:string,type:string,departments:array<string>>>>, "
-    f"fhir_rbac_roles array<{_nested(HEALTH_ROLE)}>, providers array<{_nested(ENTITY)}>, "
-    f"contractors array<{_nested(ENTITY)}>, ai_agents array<{_nested(ENTITY)}>, "
-    f"injected_violations array<{_nested(VIOLATION)}>"
+    f"fhir_rbac_roles array<{nested(HEALTH_ROLE)}>, providers array<{nested(ENTITY)}>, "
+    f"contractors array<{nested(ENTITY)}>, ai_agents array<{nested(ENTITY)}>, "
+    f"injected_violations array<{nested(VIOLATION)}>"
 )
 # Finding type -> rule, title, regulation, severity, class.
 HEALTH_RULES = (
@@ -356,9 +350,9 @@ TRADING_DOCUMENT = (
     "firm struct<desks:array<struct<id:string,name:string,division:string,asset_class:string,"
     "is_restricted:boolean,restriction_note:string>>,information_barriers:array<struct<id:string,name:string,"
     "side_a:array<string>,side_b:array<string>,regulation:string,description:string>>>, "
-    f"finserv_rbac_roles array<{_nested(TRADING_ROLE)}>, personnel array<{_nested(ENTITY)}>, "
-    f"terminated_personnel array<{_nested(ENTITY)}>, ai_agents array<{_nested(ENTITY)}>, "
-    f"injected_violations array<{_nested(VIOLATION)}>"
+    f"finserv_rbac_roles array<{nested(TRADING_ROLE)}>, personnel array<{nested(ENTITY)}>, "
+    f"terminated_personnel array<{nested(ENTITY)}>, ai_agents array<{nested(ENTITY)}>, "
+    f"injected_violations array<{nested(VIOLATION)}>"
 )
 # Finding type -> rule, title, regulation, severity, class.
 TRADING_RULES = (

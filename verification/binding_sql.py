@@ -242,9 +242,9 @@ GROUP BY 1"""
 CTES["sod_count"] = """
 SELECT u.subject_id, count(*) AS n FROM unit u JOIN violation v ON v.unit_id = u.unit_id GROUP BY 1"""
 CTES["consistency"] = """
-SELECT component_id, greatest(0.0, 1.0 - CASE WHEN count(DISTINCT status) > 1 THEN 0.4 ELSE 0.0 END
-  - CASE WHEN count(DISTINCT nullif(department, '')) > 1 THEN 0.3 ELSE 0.0 END
-  - CASE WHEN count(DISTINCT trim(lower(display_name))) > 1 THEN 0.2 ELSE 0.0 END)::DOUBLE AS score FROM member GROUP BY 1"""
+SELECT component_id, greatest(0::DOUBLE, 1::DOUBLE - CASE WHEN count(DISTINCT status) > 1 THEN 0.4::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN count(DISTINCT nullif(department, '')) > 1 THEN 0.3::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN count(DISTINCT trim(lower(display_name))) > 1 THEN 0.2::DOUBLE ELSE 0::DOUBLE END) AS score FROM member GROUP BY 1"""
 CTES["feature"] = f"""
 SELECT s.id AS subject_id, s.source, s.type, s.status, coalesce(s.department, 'unknown') AS department,
   coalesce({days(AS_OF, 's.created_at')}, 0) AS account_age_days,

@@ -186,7 +186,8 @@ def iam_users(b) -> DataFrame:
         F.array(
             F.struct(
                 F.concat(F.lit("inline"), text(k % 3)).alias("PolicyName"),
-                F.when(k % 2 == 0, F.url_encode(document)).otherwise(document).alias("PolicyDocument"),
+                F.when(k % 2 == 0, F.replace(F.url_encode(document), F.lit("+"), F.lit("%20")))
+                .otherwise(document).alias("PolicyDocument"),
             )
         ).alias("UserPolicyList"),
         F.array(
