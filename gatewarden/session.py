@@ -15,6 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
+# Only settable when the session is built.
+STATIC_SETTINGS = {
+    # Column calls need not record their Python call sites.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def build_session(app_name: str = "gatewarden", master: str | None = None, **extra: str) -> SparkSession:
@@ -22,7 +27,7 @@ def build_session(app_name: str = "gatewarden", master: str | None = None, **ext
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
