@@ -33,9 +33,16 @@ def held(estate: Estate, *permission_columns: str) -> DataFrame:
     Ids without a permission row drop out. Duplicates are removed before the
     join, so a permission that everyone holds is shuffled once per holder.
     """
-    pairs = active_assignments(estate.assignment).select("subject_id", "permission_id").distinct()
     wanted = estate.permission.select(F.col("id").alias("permission_id"), *permission_columns)
-    return skew_join(pairs, wanted, "permission_id")
+    return skew_join(active_pairs(estate), wanted, "permission_id")
+
+
+def active_pairs(estate: Estate) -> DataFrame:
+    """Distinct (subject_id, permission_id) over active assignments, dangling ids included."""
+    kept = estate.derived("held_pair")
+    if kept is not None:
+        return kept
+    return active_assignments(estate.assignment).select("subject_id", "permission_id").distinct()
 
 
 def active_with_permission(estate: Estate, *permission_columns: str) -> DataFrame:
@@ -49,6 +56,9 @@ def active_with_permission(estate: Estate, *permission_columns: str) -> DataFram
 
 def subject_actions(estate: Estate) -> DataFrame:
     """Distinct (subject_id, action) over the permissions each subject holds."""
+    kept = estate.derived("subject_action")
+    if kept is not None:
+        return kept
     return (
         held(estate, "actions")
         .select("subject_id", F.explode("actions").alias("action"))
@@ -58,7 +68,7 @@ def subject_actions(estate: Estate) -> DataFrame:
 
 def holders(estate: Estate, *subject_columns: str) -> DataFrame:
     """Distinct (permission_id, subject_id) with existing subjects and their columns."""
-    pairs = active_assignments(estate.assignment).select("permission_id", "subject_id").distinct()
+    pairs = active_pairs(estate).select("permission_id", "subject_id")
     wanted = estate.subject.select(F.col("id").alias("subject_id"), *subject_columns)
     return skew_join(pairs, wanted, "subject_id")
 
@@ -128,12 +138,7 @@ def estate_totals(estate: Estate) -> DataFrame:
 
 def action_counts(estate: Estate) -> DataFrame:
     """Number of distinct actions per subject."""
-    return (
-        held(estate, "actions")
-        .select("subject_id", F.explode("actions").alias("action"))
-        .groupBy("subject_id")
-        .agg(F.countDistinct("action").alias("unique_actions"))
-    )
+    return subject_actions(estate).groupBy("subject_id").agg(F.count(F.lit(1)).alias("unique_actions"))
 
 
 def permission_counts(estate: Estate) -> DataFrame:

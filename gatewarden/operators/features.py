@@ -172,7 +172,7 @@ def subject_features(
 def _similarity_of_groups(estate: Estate) -> DataFrame:
     """Group subjects have no peers: 1 with any action, else 0 (the default)."""
     groups = estate.subject.where(F.col("type") == "group").select(F.col("id").alias("subject_id"))
-    with_actions = access.held(estate, "actions").where(F.size("actions") > 0).select("subject_id")
+    with_actions = access.subject_actions(estate).select("subject_id")
     return groups.join(with_actions, "subject_id", "left_semi").withColumn("__group_similarity", F.lit(1.0))
 
 

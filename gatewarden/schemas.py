@@ -74,15 +74,20 @@ TABLES = {
 }
 
 
+# Tables derived from the canonical ones that a run of many operators may keep.
+DERIVED = ("held_pair", "subject_action")
+
+
 class Estate:
     """The canonical tables of one customer.
 
     A table may be given as a DataFrame or as a function that builds it; a
-    function runs when the table is first asked for.
+    function runs when the table is first asked for. Derived tables (DERIVED) are
+    optional; operators build them when they are absent.
     """
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
-        unknown = set(tables) - set(TABLES)
+        unknown = set(tables) - set(TABLES) - set(DERIVED)
         if unknown:
             raise ValueError(f"unknown tables {sorted(unknown)}")
         self._tables = dict(tables)
@@ -117,7 +122,16 @@ class Estate:
     def event(self) -> DataFrame:
         return self._table("event")
 
+    def derived(self, name: str) -> DataFrame | None:
+        return self._tables.get(name)
+
     def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> "Estate":
+        """A copy with other tables; derived tables are forgotten unless given."""
+        kept = {n: t for n, t in self._tables.items() if n in TABLES}
+        return Estate(**{**kept, **tables})
+
+    def with_derived(self, **tables: DataFrame) -> "Estate":
+        """A copy that also carries derived tables."""
         return Estate(**{**self._tables, **tables})
 
 

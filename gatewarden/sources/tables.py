@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewarden.functions.scalars import as_of_lit
+from gatewarden.operators.access import active_pairs, subject_actions
+from gatewarden.plans.durable import materialize
+from gatewarden.schemas import TABLES, Estate
 
 KEPT_SNAPSHOTS = 100
 LABELS = "map<string,array<struct<violation_class:int,label:int,confidence:double>>>"
@@ -76,10 +79,19 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").parquet(path)
 
 
+def stored(estate: Estate) -> Estate:
+    """The estate with its tables written once, for a run of many operators.
+
+    Normalisation, the distinct held pairs and the distinct actions per subject are
+    then not repeated per operator, and every join knows its sizes.
+    """
+    kept = Estate(**{name: materialize(getattr(estate, name), name) for name in TABLES})
+    kept = kept.with_derived(held_pair=materialize(active_pairs(kept), "held-pairs"))
+    return kept.with_derived(subject_action=materialize(subject_actions(kept), "subject-actions"))
+
+
 def read_estate_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A stored canonical table, columns and types as declared."""
-    from gatewarden.schemas import TABLES
-
     return spark.read.schema(TABLES[table]).parquet(path)
 
 

@@ -144,7 +144,7 @@ for _name in labels.RULES:
 )
 def _(b):
     return (
-        labels.label_all(b.rules)
+        labels.label_all(b.kept.rules)
         .groupBy("violation_class", "rule_id")
         .agg(F.count("*").alias("labels"), F.countDistinct("subject_id").alias("subjects"))
     )

@@ -12,6 +12,7 @@ from gatewarden.operators import access, features, identity, sod
 from gatewarden.operators.labels import RuleInputs
 from gatewarden.plans.durable import materialize
 from gatewarden.schemas import Estate
+from gatewarden.sources.tables import stored
 from gatewarden.session import prepare
 from verification.binding_sql import with_ctes
 
@@ -27,6 +28,13 @@ class Bound:
     def estate(self) -> Estate:
         return bind.estate(self.spark, self.sf_dir)
 
+    @cached_property
+    def kept(self) -> "Bound":
+        """The same inputs with the canonical tables stored, for runs of many operators."""
+        other = Bound(self.spark, self.sf_dir)
+        other.__dict__["estate"] = stored(self.estate)
+        return other
+
     @cached_property
     def members(self) -> DataFrame:
         return identity.correlated_members(self.estate.subject)
@@ -41,7 +49,7 @@ class Bound:
             bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF, with_betweenness=False
         )
         return materialize(
-            features.subject_features(self.estate, settings, self.members, self.pairs), "features"
+            features.subject_features(self.kept.estate, settings, self.kept.members, self.pairs), "features"
         )
 
     @cached_property
