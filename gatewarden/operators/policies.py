@@ -202,11 +202,19 @@ def nested_rules(policies: DataFrame, rules: DataFrame, conditions: DataFrame) -
 
 
 def rule_fires(values: Column, rule: Column) -> Column:
-    """All conditions of a rule hold; an unknown feature is a missing value."""
-    return F.forall(
+    """All conditions of a rule hold; an unknown feature is a missing value.
+
+    The value is looked up once per condition, before the condition is judged.
+    """
+    looked_up = F.transform(
         rule["conditions"],
-        lambda c: condition_holds(F.try_element_at(values, c["feature_name"]), c["operator"], c["threshold"]),
+        lambda c: F.struct(
+            F.try_element_at(values, c["feature_name"]).alias("value"),
+            c["operator"].alias("operator"),
+            c["threshold"].alias("threshold"),
+        ),
     )
+    return F.forall(looked_up, lambda c: condition_holds(c["value"], c["operator"], c["threshold"]))
 
 
 def evaluate_policies(

@@ -79,7 +79,11 @@ def employees(employee: DataFrame) -> DataFrame:
 
 
 def roles(role: DataFrame, role_permissions: DataFrame) -> DataFrame:
-    """Roles with their keys as actions. A role's key list is set by an administrator."""
+    """Roles with their keys as actions.
+
+    The sets hold each key and level of the ERP's catalogue at most once, however
+    many rows a role has.
+    """
     key, level = F.col("permkey"), F.coalesce("permlevel", F.lit(0))
     names = fixed_map({str(n): v for n, v in fixed.ERP_LEVELS.items()})
     action = F.concat(
@@ -88,9 +92,9 @@ def roles(role: DataFrame, role_permissions: DataFrame) -> DataFrame:
     financial, admin = key.isin(*fixed.ERP_FINANCIAL_KEYS), key.isin(*fixed.ERP_ADMIN_KEYS)
     words = F.array_compact(F.array(F.when(financial, key), F.when(admin, F.lit("admin"))))
     gathered = role_permissions.groupBy(F.col("role").alias("id")).agg(
-        F.array_sort(F.collect_list(action)).alias("actions"),
-        F.array_sort(F.collect_list(key)).alias("permission_keys"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("risk_keywords"),
+        F.array_sort(F.collect_set(action)).alias("actions"),
+        F.array_sort(F.collect_set(key)).alias("permission_keys"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(words)))).alias("risk_keywords"),
         F.bool_or((financial & (level >= 2)) | admin).alias("is_privileged"),
     )
     empty = F.array().cast("array<string>")

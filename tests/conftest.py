@@ -17,7 +17,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.driver.memory": "4g",
+            "spark.driver.memory": "8g",
         },
     )
     session.sparkContext.setLogLevel("OFF")
