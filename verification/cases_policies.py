@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gatewarden import bind
 from gatewarden.operators import access, policies as pol, suggestions
 from gatewarden.operators.features import profile
+from gatewarden.plans.durable import materialize
+from gatewarden.plans.joins import skew_join
 from gatewarden.plans.tables import literal_table
 from verification.binding_sql import AS_OF, days
 from verification.registry import case, joined, r6
@@ -257,22 +259,17 @@ SELECT i AS case_no, count(*) AS holds FROM (SELECT total_permissions AS n, type
   WHEN 5 THEN n NOT IN (20, 21) WHEN 6 THEN type = 'human' WHEN 8 THEN true WHEN 10 THEN true WHEN 12 THEN true
   WHEN 14 THEN type = 'human' ELSE false END GROUP BY 1""")
 def _(b):
-    features = simple_features(b).select(
-        F.col("total_permissions").alias("number"), F.col("type").alias("text"), F.lit(None).cast("int").alias("missing")
-    )
-    held = [
-        F.when(
-            pol.condition_holds(
-                pol.typed(F.col(name), "string" if name == "text" else "bigint"), F.lit(operator),
-                pol.parsed_threshold(F.lit(threshold)),
-            ),
-            F.lit(i),
-        )
-        for i, (name, operator, threshold) in enumerate(OPERATOR_CASES)
-    ]
-    return features.select(F.explode(F.array_compact(F.array(*held))).alias("case_no")).groupBy("case_no").agg(
-        F.count("*").alias("holds")
+    values = F.array(
+        F.struct(F.lit("number").alias("name"), pol.typed(F.col("total_permissions"), "bigint").alias("value")),
+        F.struct(F.lit("text").alias("name"), pol.typed(F.col("type"), "string").alias("value")),
+        F.struct(F.lit("missing").alias("name"), pol.typed(F.lit(None).cast("int"), "int").alias("value")),
     )
+    rows = [(i, *c) for i, c in enumerate(OPERATOR_CASES)]
+    cases = literal_table(b.spark, "case_no int, name string, operator string, threshold string", rows)
+    parsed = materialize(cases.withColumn("threshold", pol.parsed_threshold(F.col("threshold"))), "cases")
+    judged = skew_join(simple_features(b).select(F.inline(values)), parsed, "name")
+    holds = pol.condition_holds(F.col("value"), F.col("operator"), F.col("threshold"))
+    return judged.where(holds).groupBy("case_no").agg(F.count("*").alias("holds"))
 
 
 # --- suggestions --------------------------------------------------------------------------

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from gatewarden.operators import labels
+from gatewarden import bind
+from gatewarden.operators import access, behaviour, drift, features, labels, peers
 from verification.binding_sql import AS_OF, days
-from verification.registry import case, joined
+from verification.registry import PartialInputs, case, joined
 
 
 def shown(rows):
@@ -126,10 +127,49 @@ FROM member x WHERE x.subject_id IN (SELECT sp.subject_id FROM sp JOIN permissio
 EXTRA = {"category": CATEGORY, "justifiable": JUSTIFIABLE}
 
 
+# Feature parts that single rules read; label_all runs on the whole feature table.
+def counts(b):
+    return access.permission_counts(b.estate)
+
+
+def ratios(b):
+    return peers.peer_scores(b.estate).select("subject_id", "permission_to_peer_median_ratio")
+
+
+def usage(b):
+    return behaviour.usage_ratios(b.estate)
+
+
+def changes(b):
+    return drift.permission_drift(b.estate, bind.DRIFT_AS_OF)
+
+
+def activity(b):
+    return behaviour.activity(b.estate, bind.EVENT_AS_OF)
+
+
+def spans(b):
+    return features.source_system_counts(b.members)
+
+
+PARTS = {
+    "excessive_privilege": (counts, ratios),
+    "unused_privilege": (counts, usage),
+    "dormant": (counts,),
+    "creep_growth": (changes,),
+    "creep_drift": (changes,),
+    "missing_mfa": (counts,),
+    "service_multi": (spans,),
+    "service_address": (activity,),
+    "service_entropy": (activity,),
+}
+
+
 def _register(name):
     @case(f"label_{name}", SQL[name], EXTRA)
     def _(b):
-        return shown(labels.RULES[name](b.rules))
+        inputs = PartialInputs(b, *PARTS[name]) if name in PARTS else b.rules
+        return shown(labels.RULES[name](inputs))
 
 
 for _name in labels.RULES:

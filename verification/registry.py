@@ -84,6 +84,21 @@ class LazyRuleInputs:
         return self._bound.pairs
 
 
+class PartialInputs(LazyRuleInputs):
+    """Rule inputs whose feature table has only the parts a rule reads."""
+
+    def __init__(self, bound: Bound, *parts: Callable[[Bound], DataFrame]):
+        super().__init__(bound)
+        self._parts = parts
+
+    @cached_property
+    def features(self) -> DataFrame:
+        table = features.profile(self._bound.estate, bind.AS_OF)
+        for part in self._parts:
+            table = table.join(part(self._bound), "subject_id", "left")
+        return table.fillna(0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
