@@ -33,7 +33,14 @@ def build_session(app_name: str = "gatewarden", master: str | None = None, **ext
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else started."""
+    """Apply the run-time settings to a session somebody else started.
+
+    A local session left at Spark's default number of shuffle partitions gets one
+    per core; on a cluster that number belongs to the deployment.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    partitions = "spark.sql.shuffle.partitions"
+    if spark.sparkContext.master.startswith("local") and spark.conf.get(partitions) == "200":
+        spark.conf.set(partitions, str(spark.sparkContext.defaultParallelism))
     return spark
