@@ -28,7 +28,10 @@ def _(b):
     return apply_subject_rules(raw).select("id", "mfa_enabled", "department")
 
 
-@case("entity_ids")
+@case("entity_ids", """
+SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+ substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS BIGINT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS entity_id
+FROM (SELECT id, sha1(unhex('a1b2c3d4e5f67890abcdef1234567890') || encode(source || ':' || external_id)) AS h FROM subject)""")
 def _(b):
     return b.estate.subject.select("id", entity_id(F.col("source"), F.col("external_id")).alias("entity_id"))
 

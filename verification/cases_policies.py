@@ -135,7 +135,7 @@ def many_policies(b):
         F.lit("alert").alias("action"), F.when(p % 10 == 0, "odd").otherwise("high").alias("severity"),
         ((p % 12) / 10.0).alias("base_confidence"),
         (F.to_timestamp(F.lit("2001-01-01")) + F.make_dt_interval((p % 30).cast("int"))).alias("suggested_at"),
-        (p % 12).cast("int").alias("approvals"), F.lit(10).alias("graduation_threshold"),
+        (p % 13).cast("int").alias("approvals"), F.lit(10).alias("graduation_threshold"),
         F.lit(0).alias("true_positives"), F.lit(0).alias("false_positives"), F.lit(0).alias("true_negatives"),
         F.lit(0).alias("false_negatives"),
     )
@@ -177,7 +177,7 @@ LIFE = """
 SELECT 'Q' || p_partkey AS id,
  CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 5 <> 0 THEN 'paused' ELSE 'approved' END
    WHEN 1 THEN 'paused' WHEN 2 THEN CASE WHEN p_partkey % 5 <> 0 THEN 'paused' ELSE 'approved' END ELSE 'dismissed' END AS s,
- p_partkey % 12 + CASE WHEN p_partkey % 4 IN (0, 2) THEN 1 ELSE 0 END AS approvals,
+ p_partkey % 13 + CASE WHEN p_partkey % 4 IN (0, 2) THEN 1 ELSE 0 END AS approvals,
  CASE WHEN p_partkey % 4 IN (0, 2) THEN 0 ELSE 1 END + CASE WHEN p_partkey % 4 = 1 OR (p_partkey % 4 IN (0, 2) AND p_partkey % 5 <> 0) THEN 0 ELSE 1 END AS rejected
 FROM part"""
 
@@ -213,7 +213,7 @@ def feedback(b):
 @case("policy_performance", """
 SELECT 'Q' || p_partkey AS policy_id, coalesce(tp, 0) AS true_positives, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision,
  round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_score,
- coalesce(tp + fp + fn, 0) AS total_feedback, p_partkey % 12 >= 10 AS ready_for_graduation
+ coalesce(tp + fp + fn, 0) AS total_feedback, p_partkey % 13 >= 10 AS ready_for_graduation
 FROM part LEFT JOIN feedback f ON f.id = 'Q' || p_partkey""", FEEDBACK)
 def _(b):
     counted = pol.feedback_counters(many_policies(b)[0], feedback(b))
@@ -223,7 +223,7 @@ def _(b):
     )
 
 
-@case("graduation_candidates", "SELECT 'Q' || p_partkey AS id FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 12 >= 10")
+@case("graduation_candidates", "SELECT 'Q' || p_partkey AS id FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 13 >= 10")
 def _(b):
     return pol.graduation_candidates(many_policies(b)[0]).select("id")
 
@@ -232,13 +232,12 @@ def _(b):
 SELECT 'Q' || a.p_partkey AS policy_id, 'Q' || b.p_partkey AS similar_id,
   round(bit_count(((a.p_partkey % 32) & (b.p_partkey % 32))::INT) / bit_count(((a.p_partkey % 32) | (b.p_partkey % 32))::INT)::DOUBLE, 6) AS similarity
 FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_partkey % 2 = b.p_partkey % 2
-WHERE a.p_partkey % 100 = 7 AND a.p_partkey % 5 <> 0 AND b.p_partkey % 5 <> 0 AND a.p_partkey % 32 > 0 AND b.p_partkey % 32 > 0
+WHERE a.p_partkey % 4 = 1 AND a.p_partkey % 13 >= 10 AND a.p_partkey % 5 <> 0 AND b.p_partkey % 5 <> 0 AND a.p_partkey % 32 > 0 AND b.p_partkey % 32 > 0
  AND 2 * bit_count(((a.p_partkey % 32) & (b.p_partkey % 32))::INT) >= bit_count(((a.p_partkey % 32) | (b.p_partkey % 32))::INT)""")
 def _(b):
-    # The wanted policies are those of one brand of identifiers; partners come from the whole table.
+    # What other policies are like those that are about to graduate?
     policies, _, conditions = many_policies(b)
-    wanted = policies.where(F.substr("id", F.lit(2)).cast("bigint") % 100 == 7)
-    return pol.similar_policies(policies, conditions, wanted).select("policy_id", "similar_id", r6("similarity"))
+    return pol.similar_policies(policies, conditions, pol.graduation_candidates(policies)).select("policy_id", "similar_id", r6("similarity"))
 
 
 # --- conditions in long form -----------------------------------------------------------

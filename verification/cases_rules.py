@@ -173,7 +173,21 @@ def _register(name):
 
 
 for _name in labels.RULES:
-    _register(_name)
+    if _name != "warehouse_bypass":
+        _register(_name)
+
+
+@case("label_warehouse_bypass", label_sql(15, "'CBFB-R1-SF-NS'", "0.85", "x.sources", "true", """
+FROM member x WHERE x.subject_id IN (SELECT sp.subject_id FROM sp JOIN permission p ON p.id = sp.permission_id
+  GROUP BY 1 HAVING bool_or(p.name LIKE 'Break-Glass%') AND bool_or(p.permission_key IS NOT NULL))"""))
+def _(b):
+    # The bound names hold no account administrators: the break-glass roles take that name
+    # (they come from the cloud source), and the declared keys become the report key.
+    renamed = b.estate.permission.withColumn(
+        "name", F.replace("name", F.lit("Break-Glass"), F.lit("ACCOUNTADMIN"))
+    ).withColumn("permission_keys", F.transform("permission_keys", lambda k: F.lit("REPT_FINANCIALS")))
+    inputs = labels.RuleInputs(b.estate.with_tables(permission=renamed), None, b.members, b.pairs, bind.AS_OF)
+    return shown(labels.warehouse_bypass_labels(inputs))
 
 
 @case(
