@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewarden.llm import quality_rules
+from gatewarden.llm import quality_rules, substrings
+from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             return build(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
@@ -30,3 +32,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_quality_rules")
 def quality(spark, read):
     return quality_rules.quality_verdicts(read("documents"), read("labels"))
+
+
+@query("op4_substring_dedup")
+def repeats(spark, read):
+    return substrings.digest(substrings.deduplicated(read("documents")))
