@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewarden.llm import quality_rules, substrings
+from gatewarden.llm import quality_rules, simhash, substrings
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def quality(spark, read):
 @query("op4_substring_dedup")
 def repeats(spark, read):
     return substrings.digest(substrings.deduplicated(read("documents")))
+
+
+@query("op2_simhash_groups")
+def near_copies(spark, read):
+    return simhash.components(read("documents"))
