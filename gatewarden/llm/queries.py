@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import quality_rules, simhash, substrings
+from gatewarden.llm import lm_scoring, quality_rules, simhash, substrings
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,51 @@ def repeats(spark, read):
 @query("op2_simhash_groups")
 def near_copies(spark, read):
     return simhash.components(read("documents"))
+
+
+SCORES_SQL = r"""
+WITH words AS (
+  SELECT rid, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w
+    FROM documents)),
+grams AS (
+  SELECT *, lag(w, 1) OVER (PARTITION BY rid ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY rid ORDER BY i) AS q FROM words),
+total AS (SELECT count(*) AS n FROM words),
+own0 AS (SELECT rid, count(*) AS n FROM words GROUP BY rid),
+all1 AS (SELECT w, count(*) AS n FROM grams GROUP BY w),
+own1 AS (SELECT rid, w, count(*) AS n FROM grams GROUP BY rid, w),
+all2 AS (SELECT p, w, count(*) AS n FROM grams WHERE p IS NOT NULL GROUP BY p, w),
+own2 AS (SELECT rid, p, w, count(*) AS n FROM grams WHERE p IS NOT NULL GROUP BY rid, p, w),
+all3 AS (SELECT q, p, w, count(*) AS n FROM grams WHERE q IS NOT NULL GROUP BY q, p, w),
+own3 AS (SELECT rid, q, p, w, count(*) AS n FROM grams WHERE q IS NOT NULL GROUP BY rid, q, p, w),
+counted AS (
+  SELECT g.rid, g.i, (SELECT n FROM total) - own0.n AS c0, all1.n - own1.n AS c1,
+         h1.n - o1.n AS d1, coalesce(all2.n - own2.n, 0) AS c2, h2.n - o2.n AS d2, coalesce(all3.n - own3.n, 0) AS c3
+  FROM grams g JOIN own0 USING (rid)
+  JOIN all1 ON all1.w = g.w JOIN own1 ON own1.rid = g.rid AND own1.w = g.w
+  LEFT JOIN all1 h1 ON h1.w = g.p LEFT JOIN own1 o1 ON o1.rid = g.rid AND o1.w = g.p
+  LEFT JOIN all2 ON all2.p = g.p AND all2.w = g.w LEFT JOIN own2 ON own2.rid = g.rid AND own2.p = g.p AND own2.w = g.w
+  LEFT JOIN all2 h2 ON h2.p = g.q AND h2.w = g.p LEFT JOIN own2 o2 ON o2.rid = g.rid AND o2.p = g.q AND o2.w = g.p
+  LEFT JOIN all3 ON all3.q = g.q AND all3.p = g.p AND all3.w = g.w
+  LEFT JOIN own3 ON own3.rid = g.rid AND own3.q = g.q AND own3.p = g.p AND own3.w = g.w),
+scored AS (
+  SELECT rid, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS best,
+         CASE WHEN c3 > 0 THEN ln(c3 / d2) WHEN c2 > 0 THEN ln(c2 / d1) WHEN c1 > 0 THEN ln(c1 / c0) ELSE -ln(greatest(c0, 1)) END
+           + ln(0.4) * (least(i, 3) - CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END) AS value
+  FROM counted)
+SELECT d.doc_id, count(s.rid) AS n_words, count(*) FILTER (WHERE s.best = 3) AS n_full,
+       count(*) FILTER (WHERE s.best = 0) AS n_unseen, round(coalesce(sum(s.value), 0), 4) + 0.0 AS log_score,
+       round(avg(s.value), 6) + 0.0 AS mean_log_score
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN scored s USING (rid)
+GROUP BY d.rid, d.doc_id
+"""
+
+
+@query("op7_lm_scores", SCORES_SQL)
+def language_model(spark, read):
+    found = lm_scoring.scores(read("documents"))
+    return found.withColumns(
+        {"log_score": F.round("log_score", 4) + 0.0, "mean_log_score": F.round("mean_log_score", 6) + 0.0}
+    )
