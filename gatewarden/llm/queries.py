@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import lm_scoring, quality_rules, simhash, substrings
+from gatewarden.llm import byte_bpe, lm_scoring, quality_rules, simhash, substrings
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,9 @@ def language_model(spark, read):
     return found.withColumns(
         {"log_score": F.round("log_score", 4) + 0.0, "mean_log_score": F.round("mean_log_score", 6) + 0.0}
     )
+
+
+@query("op8_byte_bpe")
+def tokens(spark, read):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.encoded(read("documents"), path, public_tokenizers.PATTERN))
