@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, lm_scoring, quality_rules, simhash, substrings
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,12 @@ def language_model(spark, read):
 def tokens(spark, read):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digest(byte_bpe.encoded(read("documents"), path, public_tokenizers.PATTERN))
+
+
+@query("op9_language_id")
+def languages(spark, read):
+    docs = read("documents").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.predicted(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "ambiguous"
+    )
