@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,22 @@ def languages(spark, read):
     return language_id.predicted(docs.select("doc_id", "text", "held_out"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "ambiguous"
     )
+
+
+NEAREST_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op10_top_k", NEAREST_SQL)
+def nearest(spark, read):
+    return topk.top_k(read("embeddings"), F.col("vec_id") % 100 == 0)
