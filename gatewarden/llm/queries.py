@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk, url_filter
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query("op10_top_k", NEAREST_SQL)
 def nearest(spark, read):
     return topk.top_k(read("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+@query("op5_url_filter")
+def urls(spark, read):
+    pages = read("pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES, url_filter.labelled(spark)).select("page_id", "host", "path", "rule", "verdict", "p_block")
