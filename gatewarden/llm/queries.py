@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk, url_filter
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk, url_filter, warc
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,9 @@ URL_RULES = (
 def urls(spark, read):
     pages = read("pages").select("page_id", "url")
     return url_filter.judged(pages, URL_RULES, url_filter.labelled(spark)).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+@query("op6_warc")
+def archives(spark, read):
+    index = warc.write_archive(read("pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
