@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, quality_rules, simhash, substrings, topk, url_filter, warc
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, topk, url_filter, warc
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ def urls(spark, read):
 def archives(spark, read):
     index = warc.write_archive(read("pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_mixing")
+def mixture(spark, read):
+    return mixing.mixed(read("documents")).select("doc_id", "source", "lang", "topic", "probability", "kept")
