@@ -46,7 +46,7 @@ def chunked(docs: DataFrame, n: int) -> DataFrame:
     rows = docs.select(place.alias("chunk"), F.struct("*").alias("row"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
             at = batch.column("chunk").to_numpy(zero_copy_only=False)
             order = np.argsort(at, kind="stable")
