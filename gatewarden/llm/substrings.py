@@ -95,7 +95,7 @@ def _received(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 def _answers(bucket: int, chunk: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     """Entries of a bucket, sorted by chunk and key, as one row per chunk."""
     starts = _spans(chunk)
-    ends = np.r_[starts[1:], len(chunk)]
+    ends = np.r_[starts[1:], len(chunk)][: len(starts)]
     rows = [
         [C.pack_sorted(columns[0][a:b]), *[C.pack_planes(c[a:b]) for c in columns[1:]]]
         for a, b in zip(starts, ends, strict=True)
