@@ -5,7 +5,8 @@ up to ``?``, ``#`` or the end. A rule ``host/path`` fits its host and all subdom
 starts with the rule's; the longest rule wins. The regression sees hashed character n-grams
 of host and path (digits alike, host and path apart) and is trained from a small labelled table.
 
-Everything runs in the JVM; the model is 2 to the ``HASH_BITS`` weights whatever the input.
+The table is small (``TRAINING_ROWS`` at most), so the regression is fitted in the driver; URLs are
+judged by DataFrame functions, with the 2 to the ``HASH_BITS`` weights as a broadcast row.
 
 Defined results
     null url, no ://       host and path empty, no rule; verdict of the regression on nothing
@@ -18,9 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,8 +112,8 @@ def with_rules(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def with_features(parts: DataFrame) -> DataFrame:
-    """Hashed n-grams of host and path as a sparse vector ``__features``."""
+def with_grams(parts: DataFrame) -> DataFrame:
+    """``__grams``: the distinct hashed n-grams of host and path."""
     # Characters are taken from an array, so a long URL costs time in proportion to its length.
     split = {
         f"__{kind}": F.split(F.concat(F.lit("^"), F.regexp_replace(kind, "[0-9]", "0"), F.lit("$")), "")
@@ -124,10 +123,34 @@ def with_features(parts: DataFrame) -> DataFrame:
     for name in split:
         for size in GRAMS:
             following = ", ".join(f"get({name}, i + {j})" for j in range(1, size))
-            grams.append(F.expr(f"filter(transform({name}, (c, i) -> concat('{name[2]}', c, {following})), g -> g is not null)"))
-    rows = parts.withColumns(split).withColumn("__grams", F.concat(*grams)).drop(*split)
-    hashed = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=1 << HASH_BITS, binary=True)
-    return hashed.transform(rows).drop("__grams")
+            gram = f"xxhash64('{name[2]}', concat(c, {following}))"
+            grams.append(
+                F.expr(
+                    f"transform(slice({name}, 1, greatest(size({name}) - {size - 1}, 0)), "
+                    f"(c, i) -> cast(pmod({gram}, {1 << HASH_BITS}) as int))"
+                )
+            )
+    return parts.withColumns(split).withColumn("__grams", F.array_distinct(F.concat(*grams))).drop(*split)
+
+
+def fit(grams: list[list[int]], blocked: list[bool], passes: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on sets of hashed n-grams (adaptive gradient steps)."""
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    column = np.concatenate([np.array(g, np.int64) for g in grams])
+    target = np.array(blocked, float)
+    # Long URLs have more n-grams; all count alike.
+    scale = 1.0 / np.sqrt(np.bincount(row, minlength=len(grams)))
+    weights, bias = np.zeros(1 << HASH_BITS), 0.0
+    pace, bias_pace = np.full(len(weights), 1e-8), 1e-8
+    for _ in range(passes):
+        margin = np.bincount(row, weights=weights[column], minlength=len(grams)) * scale + bias
+        push = (target - 1.0 / (1.0 + np.exp(-margin))) / len(grams)
+        step = np.bincount(column, weights=(push * scale)[row], minlength=len(weights)) - penalty * weights / len(grams)
+        pace += step**2
+        bias_pace += push.sum() ** 2
+        weights += 0.3 * step / np.sqrt(pace)
+        bias += 0.3 * push.sum() / np.sqrt(bias_pace)
+    return weights, float(bias)
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule], table: DataFrame) -> DataFrame:
@@ -135,24 +158,20 @@ def judged(pages: DataFrame, rules: Sequence[Rule], table: DataFrame) -> DataFra
     pages = pages.drop("host", "path", "rule", "p_block", "verdict")
     known = (
         table.where(F.col("url").isNotNull() & F.col("label").isin("allow", "block"))
-        .select("url", (F.col("label") == "block").cast("double").alias("__label"))
-        .orderBy(F.xxhash64("url"), "url", "__label")
+        .select("url", (F.col("label") == "block").alias("__blocked"))
+        .orderBy(F.xxhash64("url"), "url", "__blocked")
         .limit(TRAINING_ROWS)
     )
-    known = with_features(with_parts(known)).select("__features", "__label").cache()
-    counts = dict(known.groupBy("__label").count().collect())
+    known = with_grams(with_parts(known)).select("__grams", "__blocked").collect()
     ruled = with_rules(pages, rules)
-    if len(counts) < 2:
-        certain = float(next(iter(counts), 0.0))
-        rows = ruled.withColumn("p_block", F.lit(certain))
+    if len({r["__blocked"] for r in known}) < 2:
+        rows = ruled.withColumn("p_block", F.lit(float(any(r["__blocked"] for r in known))))
     else:
-        model = LogisticRegression(
-            featuresCol="__features", labelCol="__label", probabilityCol="__p", rawPredictionCol="__raw",
-            predictionCol="__class", regParam=0.003, maxIter=40, standardization=False,
-        ).fit(known)
-        scored = model.transform(with_features(ruled))
-        rows = scored.withColumn("p_block", vector_to_array("__p")[1]).drop("__features", "__p", "__raw", "__class")
-    known.unpersist()
+        weights, bias = fit([r["__grams"] for r in known], [r["__blocked"] for r in known])
+        model = pages.sparkSession.createDataFrame([(0, weights.tolist())], "__model int, __weights array<double>")
+        rows = with_grams(ruled).withColumn("__model", F.lit(0)).join(F.broadcast(model), "__model")
+        total = F.expr("aggregate(__grams, 0D, (s, g) -> s + __weights[g])")
+        margin = total / F.sqrt(F.greatest(F.size("__grams"), F.lit(1))) + F.lit(bias)
+        rows = rows.withColumn("p_block", 1.0 / (1.0 + F.exp(-margin))).drop("__grams", "__model", "__weights")
     by_model = F.when(F.col("p_block") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return rows.withColumn("verdict", F.coalesce("verdict", by_model))
-
