@@ -15,16 +15,63 @@ LOGIN = "auth.login"
 
 
 def actor_subjects(subject: DataFrame) -> DataFrame:
-    """(actor_id, family, subject_id): how events of a log family name a subject."""
-    return subject.select(
-        F.col("external_id").alias("actor_id"),
-        F.explode(F.array("source", F.lit("*"))).alias("family"),
-        F.col("id").alias("subject_id"),
+    """(actor_id, family, subject_id): the names by which events of a log family mean a subject.
+
+    Besides its id in the source a subject is known by the last part of its ARN (user or role
+    name), its mail address, and the login or principal name among its attributes. Addresses
+    match in any case. A name that several subjects of a family bear, other than an id, means none.
+    """
+    attribute = lambda name: F.get_json_object("attributes", f"$.{name}")
+    arn_name = F.when(
+        F.startswith("external_id", F.lit("arn:")) & F.contains("external_id", F.lit("/")),
+        F.element_at(F.split("external_id", "/"), -1),
+    )
+    names = F.array(
+        F.struct(F.col("external_id").alias("name"), F.lit(True).alias("is_id")),
+        *[
+            F.struct(name.alias("name"), F.lit(False).alias("is_id"))
+            for name in (
+                arn_name, F.col("email"), attribute("login"), attribute("user_principal_name"),
+                attribute("userPrincipalName"), attribute("app_id"),
+            )
+        ],
+    )
+    known = (
+        subject.select(F.col("id").alias("subject_id"), "source", F.explode(names).alias("known"))
+        .select("subject_id", "source", actor_key(F.col("known.name")).alias("actor_id"), "known.is_id")
+        .where(F.col("actor_id") != "")
+        .withColumn("family", F.explode(F.array("source", F.lit("*"))))
+    )
+    bearers = known.groupBy("actor_id", "family").agg(
+        F.min("subject_id").alias("first"), F.max("subject_id").alias("last"), F.bool_or("is_id").alias("has_id"),
     )
+    alone = bearers.where((F.col("first") == F.col("last")) & ~F.col("has_id")).select(
+        "actor_id", "family", F.col("first").alias("subject_id")
+    )
+    ids = known.where("is_id").select("actor_id", "family", "subject_id")
+    return ids.unionByName(alone)
+
+
+def actor_key(name: Column) -> Column:
+    """Addresses in lower case without outer blanks, other names as they are."""
+    return F.when(F.contains(name, F.lit("@")), F.lower(F.btrim(name))).otherwise(name)
+
+
+def event_action(events: DataFrame) -> Column:
+    """``service:Event`` of an event; profiles that name the event alone have the service in the payload."""
+    name = F.col("raw_event_name")
+    service = F.substring_index(F.get_json_object("raw_payload", "$.eventSource"), ".", 1)
+    bare = (F.col("source") == "aws_cloudtrail") & ~F.contains(name, F.lit(":")) & (service != "")
+    return F.when(bare, F.concat(service, F.lit(":"), name)).otherwise(name)
 
 
 def _with_family(events: DataFrame) -> DataFrame:
-    return events.withColumn("family", F.coalesce(fixed_map(LOG_FAMILIES)[F.col("source")], F.lit("*")))
+    return events.withColumns(
+        {
+            "family": F.coalesce(fixed_map(LOG_FAMILIES)[F.col("source")], F.lit("*")),
+            "actor_id": actor_key(F.col("actor_id")),
+        }
+    )
 
 
 def recent(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -48,25 +95,40 @@ def activity(estate: Estate, as_of: str) -> DataFrame:
     """
     window = _with_family(recent(estate.event, as_of))
     key = ["actor_id", "family"]
-    volume = window.groupBy(*key).agg(
-        (F.count(F.lit(1)) / F.lit(30.0)).alias("avg_daily_api_calls_30d"),
-        F.countDistinct(F.nullif("source_ip", F.lit(""))).alias("distinct_source_ips_30d"),
+    bearers = actor_subjects(estate.subject)
+    # Reduced to few rows per actor first; a subject may be several actors, so sums are taken again.
+    volume = (
+        skew_join(window.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), bearers, key)
+        .groupBy("subject_id")
+        .agg((F.sum("n") / F.lit(30.0)).alias("avg_daily_api_calls_30d"))
     )
-    hours = (
+    addresses = (
+        skew_join(window.where(F.col("source_ip") != "").select(*key, "source_ip").distinct(), bearers, key)
+        .select("subject_id", "source_ip")
+        .distinct()
+        .groupBy("subject_id")
+        .agg(F.count(F.lit(1)).alias("distinct_source_ips_30d"))
+    )
+    logins = (
         window.where(F.col("event_type") == LOGIN)
         .groupBy(*key, F.hour("timestamp").alias("hour"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*key)
+    )
+    hours = (
+        skew_join(logins, bearers, key)
+        .groupBy("subject_id", "hour")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("subject_id")
         .agg(entropy_bits(F.col("n")).alias("login_time_entropy"))
     )
     return (
-        volume.join(hours, key, "left")
-        .join(actor_subjects(estate.subject), key)
+        volume.join(hours, "subject_id", "left")
+        .join(addresses, "subject_id", "left")
         .select(
             "subject_id",
             "avg_daily_api_calls_30d",
             F.coalesce("login_time_entropy", F.lit(0.0)).alias("login_time_entropy"),
-            "distinct_source_ips_30d",
+            F.coalesce("distinct_source_ips_30d", F.lit(0).cast("bigint")).alias("distinct_source_ips_30d"),
         )
     )
 
@@ -75,7 +137,7 @@ def usage_ratios(estate: Estate) -> DataFrame:
     """(subject_id, usage_ratio): granted actions seen in events / granted actions."""
     seen = (
         _with_family(estate.event)
-        .select("actor_id", "family", F.col("raw_event_name").alias("action"))
+        .select("actor_id", "family", event_action(estate.event).alias("action"))
         .distinct()
     )
     seen = skew_join(seen, actor_subjects(estate.subject), ["actor_id", "family"]).select(

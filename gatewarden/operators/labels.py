@@ -25,17 +25,21 @@ class RuleInputs:
     as_of: str
 
 
+def _evidence(fields: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
 def _label(
     rows: DataFrame,
     violation_class: int,
     rule_id: Column | str,
     confidence: Column | float,
-    evidence: dict[str, Column],
+    evidence: dict[str, Column] | Column,
     sources: Column,
     cross_boundary: Column | bool = False,
 ) -> DataFrame:
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    detail = F.to_json(F.struct(*[c.alias(n) for n, c in evidence.items()]), {"ignoreNullFields": "false"})
+    detail = evidence if isinstance(evidence, Column) else _evidence(evidence)
     return rows.select(
         "subject_id",
         F.lit(violation_class).alias("violation_class"),
@@ -255,7 +259,10 @@ def missing_mfa_labels(inputs: RuleInputs) -> DataFrame:
         rows, 8,
         F.when(privileged, "MFA-R1-PRIV").otherwise("MFA-R1-ACTIVE"),
         F.when(privileged, 0.95).otherwise(0.7),
-        {"mfa_enabled": F.lit(False), "privileged_permissions": F.col("privileged_permissions")},
+        F.when(
+            privileged,
+            _evidence({"mfa_enabled": F.lit(False), "privileged_permissions": F.col("privileged_permissions")}),
+        ).otherwise(_evidence({"mfa_enabled": F.lit(False)})),
         _own_source(),
     )
 

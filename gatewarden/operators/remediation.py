@@ -114,20 +114,33 @@ def rollback_steps(steps: DataFrame) -> DataFrame:
 def execution_ledger(steps: DataFrame, results: DataFrame, dry_run: bool = False) -> DataFrame:
     """Outcome per plan from step results (signal_id, step_order, ok).
 
-    Steps run in order up to the first failure. Steps after it did not run.
+    Steps run in order up to the first failure; only steps with a result have run. A plan is
+    completed when every step succeeded, failed at its first failure, else running, or not_run
+    without any result. A dry run executes nothing and counts the planned steps.
     """
     ran = steps.select("signal_id", "step_order").join(results, ["signal_id", "step_order"], "left")
-    failed_at = ran.groupBy("signal_id").agg(
+    outcome = ran.groupBy("signal_id").agg(
         F.count(F.lit(1)).alias("planned"),
-        F.min(F.when(~F.coalesce("ok", F.lit(True)), F.col("step_order"))).alias("failed_step"),
+        F.count("ok").alias("reported"),
+        F.min(F.when(~F.col("ok"), F.col("step_order"))).alias("failed_step"),
+        F.count_if(F.col("ok")).alias("succeeded"),
     )
-    done = F.when(F.col("failed_step").isNull(), F.col("planned")).otherwise(F.col("failed_step") - 1)
-    finished = F.lit("dry_run" if dry_run else "completed")
-    return failed_at.select(
-        "signal_id",
-        F.when(F.col("failed_step").isNotNull(), "failed").otherwise(finished).alias("status"),
-        done.cast("bigint").alias("steps_completed"),
-        "failed_step",
+    if dry_run:
+        return outcome.select(
+            "signal_id", F.lit("dry_run").alias("status"), F.col("planned").alias("steps_completed"),
+            F.lit(None).cast(steps.schema["step_order"].dataType).alias("failed_step"),
+        )
+    status = (
+        F.when(F.col("failed_step").isNotNull(), "failed")
+        .when(F.col("succeeded") == F.col("planned"), "completed")
+        .when(F.col("reported") == 0, "not_run")
+        .otherwise("running")
+    )
+    done = F.when(F.col("failed_step").isNull(), F.col("succeeded")).otherwise(
+        F.least(F.col("succeeded"), F.col("failed_step") - 1)
+    )
+    return outcome.select(
+        "signal_id", status.alias("status"), done.cast("bigint").alias("steps_completed"), "failed_step"
     )
 
 

@@ -203,17 +203,15 @@ def signals_from_findings(
     unique = first_by(named, ["subject", "rule"], [F.col("id")])
     action = F.try_element_at("steps", F.lit(1))["action"]
     name, number = classify_finding(F.col("source"), action)
-    step_text = F.transform(
-        F.slice("steps", 1, 3), lambda s: F.concat(s["action"], F.lit(": "), s["description"])
-    )
+    step = lambda i: F.try_element_at("steps", F.lit(i))
+    texts = [F.concat(step(i)["action"], F.lit(": "), step(i)["description"]).alias(f"step_{i}") for i in (1, 2, 3)]
     return unique.select(
         "subject_id", "subject", "subject_type", "department",
         name.alias("violation"), number.alias("violation_class"), "confidence",
         finding_severity(F.col("confidence")).alias("severity"), "rule",
         F.to_json(
             F.struct(
-                F.col("end_result").alias("end_result"), F.size("steps").alias("steps"),
-                step_text.alias("first_steps"),
+                F.col("end_result").alias("end_result"), F.size("steps").alias("steps"), *texts,
             )
         ).alias("evidence"),
         F.array("source").alias("sources"), "mfa",

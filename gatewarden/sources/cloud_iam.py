@@ -380,12 +380,12 @@ def group_memberships(users: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def with_mfa_devices(subject: DataFrame, devices: DataFrame) -> DataFrame:
-    """MFA flag of users from a device list (UserName, one row per device)."""
+    """MFA flag of users from a device list (UserName, one row per device); roles stay unknown."""
     counted = devices.groupBy(F.col("UserName").alias("user_name")).agg(F.count(F.lit(1)).alias("devices"))
     in_account = (
         F.col("type").isin("human", "service_account")
         & F.startswith("external_id", F.lit("arn:aws:iam"))
-        & F.contains("external_id", F.lit("/"))
+        & F.contains("external_id", F.lit(":user/"))
     )
     return (
         subject.withColumn("user_name", F.element_at(F.split("external_id", "/"), -1))

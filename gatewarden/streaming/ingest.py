@@ -15,6 +15,8 @@ from gatewarden.functions.scalars import as_of_lit
 from gatewarden.sources import cloudtrail, identity_logs
 
 LATENESS = "1 day"
+# Batches of one run whose progress is kept.
+KEPT_PROGRESS = 100_000
 
 Normaliser = Callable[[DataFrame], DataFrame]
 FEEDS: dict[str, tuple[str, Normaliser]] = {
@@ -26,13 +28,20 @@ FEEDS: dict[str, tuple[str, Normaliser]] = {
 }
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place))
+
+
 def stream_feed(
-    spark: SparkSession, feed: str, path: str, as_of: str | None = None, files_per_batch: int = 1000
+    spark: SparkSession, feed: str, path: str, as_of: str | None = None, files_per_batch: int = 1000,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Normalised events of JSON-lines files that land below ``path``.
 
-    Without a checkpoint the reference point is ``as_of``: a first run starts 24 hours
-    before it; no ``as_of`` means from the beginning.
+    A first run starts 24 hours before ``as_of``; no ``as_of`` means from the beginning. A run
+    whose ``checkpoint`` exists continues where the last one ended, whatever ``as_of`` says.
     """
     schema, normalise = FEEDS[feed]
     raw = (
@@ -42,12 +51,18 @@ def stream_feed(
         .json(path)
     )
     events = normalise(raw)
-    if as_of is not None:
+    if as_of is not None and not (checkpoint and exists(spark, checkpoint)):
         start = as_of_lit(as_of) - F.make_dt_interval(F.lit(1))
         events = events.where(F.col("timestamp") >= start)
     return events
 
 
+def landed_feed(spark: SparkSession, feed: str, path: str) -> DataFrame:
+    """The same events as a batch: everything that has landed below ``path``."""
+    schema, normalise = FEEDS[feed]
+    return normalise(spark.read.schema(schema).option("recursiveFileLookup", True).json(path))
+
+
 def without_repeats(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Each (source, source_event_id) once; state is dropped behind the watermark."""
     return events.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(
@@ -94,12 +109,34 @@ def daily_addresses(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
-def thirty_day_rollup(days: DataFrame, as_of: str) -> DataFrame:
-    """Batch rollup of :func:`daily_activity` output: calls per day over 30 whole days."""
+def with_open_days(closed: DataFrame, landed: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Emitted days and, from the landed events, the days after them that no watermark has closed yet.
+
+    ``closed`` is what a stream of ``summarise`` has written, ``landed`` the same events as a batch.
+    """
+    last = closed.groupBy().agg(F.max("day").alias("last")).select(
+        F.coalesce(F.col("last") + F.make_dt_interval(F.lit(1)), F.lit("0001-01-01").cast("timestamp")).alias("open_from")
+    )
+    open_days = summarise(landed.where(F.col("timestamp") >= last.scalar()))
+    return closed.unionByName(open_days)
+
+
+def _last_thirty_days(days: DataFrame, as_of: str) -> DataFrame:
     end = as_of_lit(as_of)
     start = end - F.make_dt_interval(F.lit(30))
+    return days.where((F.col("day") >= start) & (F.col("day") < end))
+
+
+def thirty_day_addresses(days: DataFrame, as_of: str) -> DataFrame:
+    """Batch rollup of :func:`daily_addresses` output: distinct addresses over 30 whole days."""
+    pairs = _last_thirty_days(days, as_of).select("actor_id", "source_ip").distinct()
+    return pairs.groupBy("actor_id").agg(F.count(F.lit(1)).alias("distinct_source_ips_30d"))
+
+
+def thirty_day_rollup(days: DataFrame, as_of: str) -> DataFrame:
+    """Batch rollup of :func:`daily_activity` output: calls per day over 30 whole days."""
     return (
-        days.where((F.col("day") >= start) & (F.col("day") < end))
+        _last_thirty_days(days, as_of)
         .groupBy("actor_id")
         .agg((F.sum("calls") / F.lit(30.0)).alias("avg_daily_api_calls_30d"))
     )
@@ -107,6 +144,8 @@ def thirty_day_rollup(days: DataFrame, as_of: str) -> DataFrame:
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what has landed, write Parquet, stop; the checkpoint remembers where."""
+    # Counts over all batches need the progress of every batch.
+    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(KEPT_PROGRESS))
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -120,7 +159,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows that came too late for the watermark, over the query's recorded progress."""
+    """Rows that came too late for the watermark, over all batches of the run."""
+    if len(query.recentProgress) >= KEPT_PROGRESS:
+        raise RuntimeError("the run had more batches than recorded progress; process fewer files per run")
     return sum(
         int(operator.get("numRowsDroppedByWatermark", 0))
         for progress in query.recentProgress

@@ -10,17 +10,21 @@ from gatewarden.sources import cloudtrail, identity_logs, tables
 from gatewarden.streaming import ingest
 from verification import payloads
 from verification.cases_rules import EXTRA, SQL
-from verification.cases_signals import LABELS, CountsOnly, some_labels
+from verification.cases_signals import LABELS, CountsOnly
 from verification.cases_sources import _scratch, label_json
 from verification.registry import case, r6
 
 
-@case("label_matrix", """
-SELECT s.id AS subject_id, max(CASE WHEN violation_class = 1 THEN 1 ELSE 0 END) AS class_1, max(CASE WHEN violation_class = 2 THEN 1 ELSE 0 END) AS class_2,
- max(CASE WHEN violation_class = 8 THEN 1 ELSE 0 END) AS class_8, 0 AS class_15 FROM subject s LEFT JOIN label_row l ON l.subject_id = s.id GROUP BY 1""", LABELS)
+@case(
+    "label_matrix",
+    "SELECT s.id AS subject_id, "
+    + ", ".join(f"max(CASE WHEN violation_class = {c} THEN 1 ELSE 0 END) AS class_{c}" for c in learning.CLASSES)
+    + " FROM subject s LEFT JOIN label_row l ON l.subject_id = s.id GROUP BY 1",
+    LABELS,
+)
 def _(b):
     ids = b.estate.subject.select(F.col("id").alias("subject_id"))
-    return learning.label_matrix(ids, some_labels(b)).select("subject_id", "class_1", "class_2", "class_8", "class_15")
+    return learning.label_matrix(ids, b.labels)
 
 
 @case("class_balance", """
@@ -29,7 +33,7 @@ SELECT c AS violation_class, n_pos, total - n_pos AS n_neg, round((total - n_pos
  FROM (SELECT unnest(range(1, 16)) AS c) LEFT JOIN label_row l ON l.violation_class = c GROUP BY 1)""", LABELS)
 def _(b):
     ids = b.estate.subject.select(F.col("id").alias("subject_id"))
-    return learning.class_balance(learning.label_matrix(ids, some_labels(b))).select(
+    return learning.class_balance(learning.label_matrix(ids, b.labels)).select(
         "violation_class", "n_pos", "n_neg", r6("scale_pos"), r6("positive_rate")
     )
 
@@ -174,7 +178,7 @@ def small_vectors(b):
 @case("trained_model_metrics")
 def _(b):
     vectors = small_vectors(b)
-    training = learning.training_set([(vectors, some_labels(b))])
+    training = learning.training_set([(vectors, b.labels)])
     models, metrics = learning.train_all(materialize(training, "training"), classes=(8, 15), rounds=3, depth=3)
     return metrics
 
@@ -182,7 +186,7 @@ def _(b):
 @case("scored_signals")
 def _(b):
     vectors = small_vectors(b)
-    training = materialize(learning.training_set([(vectors, some_labels(b))]), "training")
+    training = materialize(learning.training_set([(vectors, b.labels)]), "training")
     model, _ = learning.train_class(training, 8, rounds=2, depth=3)
     ranked = learning.score_all(
         {"ZT-06": learning.spark_scorer(model)}, vectors, graph.blast_radius(b.estate), as_of_lit(bind.AS_OF)
@@ -193,7 +197,7 @@ def _(b):
 @case("fine_tuned_metrics")
 def _(b):
     vectors = small_vectors(b)
-    training = materialize(learning.training_set([(vectors, some_labels(b))]), "training")
+    training = materialize(learning.training_set([(vectors, b.labels)]), "training")
     model, _ = learning.train_class(training, 8, rounds=2, depth=2)
     merged = learning.merge_labels(three_sources(b))
     return learning.fine_tune(model, vectors, merged, 2, rounds=2, depth=2)[1]
@@ -236,19 +240,37 @@ def _(b):
     return streamed(b, ingest.without_repeats, rows=twice).select("source_event_id")
 
 
-@case("stream_daily_summary", """
+LANDED = "event_id % 11 NOT IN (7, 8) AND event_id % 50 <> 7"
+
+
+def landed_events(b, rows=payloads.okta_events):
+    """The streamed events once more, as a batch."""
+    return ingest.landed_feed(b.spark, "okta", landed(b, rows(b), "landing-okta-batch"))
+
+
+@case("stream_daily_summary", f"""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS total_events, count(*) FILTER (event_type = 'error') AS errors FROM events
-WHERE event_id % 11 NOT IN (7, 8) AND event_id % 50 <> 7 GROUP BY 1
-HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(date_trunc('second', ts)) FROM events WHERE event_id % 11 NOT IN (7, 8) AND event_id % 50 <> 7) - INTERVAL 1 DAY""")
+WHERE {LANDED} GROUP BY 1""")
 def _(b):
-    rows = streamed(b, ingest.daily_summary)
+    rows = ingest.with_open_days(streamed(b, ingest.daily_summary), landed_events(b), ingest.daily_summary)
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total_events", "errors")
 
 
-@case("stream_daily_activity_rollup", """
-SELECT CASE WHEN event_id % 3 <> 0 THEN 'u' || user_id || '@corp.test' ELSE 'id' || user_id END AS actor_id, round(count(*) / 30.0, 6) AS avg_daily_api_calls_30d FROM events
-WHERE event_id % 11 NOT IN (7, 8) AND event_id % 50 <> 7 AND date_trunc('day', ts) + INTERVAL 1 DAY <=
- (SELECT max(date_trunc('second', ts)) FROM events WHERE event_id % 11 NOT IN (7, 8) AND event_id % 50 <> 7) - INTERVAL 1 DAY GROUP BY 1""")
+ACTOR = "CASE WHEN event_id % 3 <> 0 THEN 'u' || user_id || '@corp.test' ELSE 'id' || user_id END"
+LAST_30 = f"""{LANDED} AND date_trunc('day', ts) >= TIMESTAMP '{bind.EVENT_AS_OF}' - INTERVAL 30 DAY
+ AND date_trunc('day', ts) < TIMESTAMP '{bind.EVENT_AS_OF}'"""
+
+
+@case("stream_daily_activity_rollup", f"""
+SELECT {ACTOR} AS actor_id, round(count(*) / 30.0, 6) AS avg_daily_api_calls_30d FROM events WHERE {LAST_30} GROUP BY 1""")
 def _(b):
-    days = streamed(b, ingest.daily_activity)
+    days = ingest.with_open_days(streamed(b, ingest.daily_activity), landed_events(b), ingest.daily_activity)
     return ingest.thirty_day_rollup(days, bind.EVENT_AS_OF).select("actor_id", r6("avg_daily_api_calls_30d"))
+
+
+@case("stream_daily_addresses_rollup", f"""
+SELECT actor_id, count(DISTINCT ip) AS distinct_source_ips_30d FROM (SELECT {ACTOR} AS actor_id,
+ '10.0.0.' || json_extract_string(props, '$.k') AS ip FROM events WHERE {LAST_30}) WHERE ip <> '' GROUP BY 1""")
+def _(b):
+    days = ingest.with_open_days(streamed(b, ingest.daily_addresses), landed_events(b), ingest.daily_addresses)
+    return ingest.thirty_day_addresses(days, bind.EVENT_AS_OF)

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from gatewarden import bind
+from gatewarden.functions.fixed_values import MODEL_IDS, VIOLATION_NAMES
 from gatewarden.functions.scalars import as_of_lit
-from gatewarden.operators import access, graph, labels, remediation, signals
+from gatewarden.operators import access, graph, remediation, signals
 from gatewarden.operators.features import profile
 from gatewarden.operators.peers import peer_scores
 from gatewarden.session import prepare
@@ -14,22 +15,12 @@ from verification.registry import case, joined, r6
 REPORT_SEVERITY = """CASE WHEN violation_class IN (1, 2, 15) AND confidence >= 0.9 THEN 'critical'
  WHEN violation_class IN (1, 2, 15) AND confidence >= 0.8 THEN 'high' WHEN confidence >= 0.85 THEN 'high'
  WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END"""
-NAMES = """CASE violation_class WHEN 1 THEN 'SoD Violation' WHEN 2 THEN 'Privilege Escalation' WHEN 3 THEN 'Excessive Privilege'
- WHEN 4 THEN 'Stale / Dormant Account' WHEN 5 THEN 'Orphan Account' WHEN 8 THEN 'Missing MFA' END"""
-LABELS = {**EXTRA, "label_row": " UNION ALL ".join(SQL[n] for n in ("sod", "escalation", "missing_mfa"))}
+NAMES = "CASE violation_class " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in VIOLATION_NAMES.items()) + " END"
+MODELS = "CASE violation_class " + " ".join(f"WHEN {c} THEN '{m}'" for c, m in MODEL_IDS.items()) + " END"
+LABELS = {**EXTRA, "label_row": " UNION ALL ".join(SQL.values())}
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
-def some_labels(b):
-    """Labels of three rules, enough to exercise every severity."""
-    rules = (labels.sod_labels, labels.escalation_labels, labels.missing_mfa_labels)
-    out = None
-    for rule in rules:
-        rows = rule(CountsOnly(b)) if rule is labels.missing_mfa_labels else rule(b.rules)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 class CountsOnly:
     """Rule inputs whose features are the permission counts alone."""
 
@@ -39,7 +30,7 @@ class CountsOnly:
 
 
 def label_signals(b):
-    return signals.signals_from_labels(some_labels(b), b.estate)
+    return signals.signals_from_labels(b.labels, b.estate)
 
 
 def ranked_excess(spark, sf_dir):
@@ -104,9 +95,7 @@ def _(b):
     return signals.of_source(label_signals(b), "okta").groupBy("subject_id", "rule").agg(F.count("*").alias("n"))
 
 
-DETECTIONS = """
-SELECT CASE violation_class WHEN 1 THEN 'SOX-01' WHEN 2 THEN 'SOX-02' ELSE 'ZT-06' END AS model_id, subject_id AS entity_id,
-  confidence, row_number() OVER () AS seq, rule_id FROM label_row"""
+DETECTIONS = "SELECT " + MODELS + " AS model_id, subject_id AS entity_id, confidence, row_number() OVER () AS seq, rule_id FROM label_row"
 BEST = """SELECT model_id, entity_id, max(confidence) AS confidence FROM detection GROUP BY 1, 2"""
 SIGNAL = """
 SELECT b.model_id || '/' || b.entity_id AS signal_id, b.model_id, b.entity_id, round(b.confidence, 4) AS confidence,
@@ -120,10 +109,10 @@ SIGNALS = {**LABELS, "detection": DETECTIONS, "best": BEST, "signal": SIGNAL}
 
 
 def detections(b):
-    model = F.when(F.col("violation_class") == 1, "SOX-01").when(F.col("violation_class") == 2, "SOX-02")
+    catalogue = F.broadcast(signals.model_catalogue(b.spark).select("violation_class", "model_id"))
     actions = F.array(*[F.lit(a) for a in ("revoke_permission", "disable_account", "require_mfa", "flag_for_review", "quarantine")])
-    return some_labels(b).select(
-        model.otherwise("ZT-06").alias("model_id"), F.col("subject_id").alias("entity_id"), "confidence",
+    return b.labels.join(catalogue, "violation_class").select(
+        "model_id", F.col("subject_id").alias("entity_id"), "confidence",
         F.try_element_at(actions, (F.substr("subject_id", F.lit(2)).cast("bigint") % 5 + 1).cast("int")).alias("action"),
         F.element_at("source_systems", 1).alias("source"), F.concat_ws("/", "rule_id", "evidence").alias("seq"),
     )
@@ -189,11 +178,54 @@ def _(b):
     return signals.signals_from_findings(b.estate, already).select("subject", "rule", "violation")
 
 
+# The headline run: labels of all rules and findings of all sources, deduplicated and ranked.
+ALL_SIGNALS = f"""
+SELECT s.display_name AS subject, l.rule_id AS rule, {NAMES} AS violation, violation_class, {REPORT_SEVERITY} AS severity, 'label' AS kind
+FROM label_row l JOIN subject s ON s.id = l.subject_id
+UNION ALL
+SELECT subject, rule, violation, violation_class, CASE WHEN confidence >= 0.95 THEN 'critical' WHEN confidence >= 0.9 THEN 'high' ELSE 'medium' END, 'finding'
+FROM (SELECT s.display_name AS subject, upper(p.source) || '-' || substr(min_action, 1, 20) AS rule, max(p.confidence) AS confidence,
+   max(CASE p.source WHEN 'netsuite' THEN 'SoD Violation (ERP)' WHEN 'healthcare' THEN 'HIPAA Violation (Healthcare)' ELSE 'Identity Risk (IdP)' END) AS violation,
+   max(CASE p.source WHEN 'netsuite' THEN 1 WHEN 'healthcare' THEN 15 ELSE 9 END) AS violation_class
+ FROM (SELECT path.*, (SELECT min(action) FROM pattern WHERE pattern.pattern_no = path.pattern_no) AS min_action FROM path) p
+ JOIN subject s ON s.id = p.subject_id WHERE p.source IN ('netsuite', 'okta', 'healthcare') GROUP BY 1, 2)"""
+ALL = {**LABELS, "all_signal": ALL_SIGNALS}
+
+
+def all_signals(b):
+    labelled = label_signals(b)
+    found = signals.signals_from_findings(b.estate, labelled)
+    return labelled.withColumn("kind", F.lit("label")).unionByName(found.withColumn("kind", F.lit("finding")))
+
+
+@case("pipeline_signals", "SELECT subject, rule, violation, violation_class, severity, kind FROM all_signal", ALL)
+def _(b):
+    ranked = signals.rank(all_signals(b), "subject_id")
+    return ranked.select("subject", "rule", "violation", "violation_class", "severity", "kind")
+
+
+@case("pipeline_rollup_severity", "SELECT severity, count(*) AS n FROM all_signal GROUP BY 1", ALL)
+def _(b):
+    return signals.rollup_by(all_signals(b), "severity")
+
+
+@case("pipeline_rollup_violation", "SELECT violation, count(*) AS n FROM all_signal GROUP BY 1", ALL)
+def _(b):
+    return signals.rollup_by(all_signals(b), "violation")
+
+
+@case("pipeline_rollup_source", f"""
+SELECT source, count(*) AS n FROM (SELECT unnest(string_split(source_systems, ',')) AS source FROM label_row
+ UNION ALL SELECT lower(split_part(rule, '-', 1)) FROM all_signal WHERE kind = 'finding') GROUP BY 1""", ALL)
+def _(b):
+    return signals.rollup_by_source(all_signals(b))
+
+
 @case("model_catalogue_use", """
 SELECT model_id, count(*) AS detections FROM detection GROUP BY 1""", SIGNALS)
 def _(b):
     catalogue = signals.model_catalogue(b.spark)
-    return some_labels(b).join(F.broadcast(catalogue), "violation_class").groupBy("model_id").agg(
+    return b.labels.join(F.broadcast(catalogue), "violation_class").groupBy("model_id").agg(
         F.count("*").alias("detections")
     )
 
@@ -267,6 +299,21 @@ SELECT signal_id, CASE WHEN k % 7 = 0 THEN 'failed' ELSE 'completed' END AS stat
 FROM (SELECT signal_id, max(substr(entity_id, 2))::BIGINT AS k, count(*) AS n FROM step GROUP BY 1)"""}
 
 
+@case("execution_ledger_unfinished", """
+SELECT 'S/' || id AS signal_id, CASE WHEN ingest_seq % 2 = 0 THEN 'not_run' WHEN ingest_seq % 5 = 0 THEN 'running' ELSE 'completed' END AS status,
+ CASE WHEN ingest_seq % 2 = 0 THEN 0 ELSE 1 END AS steps_completed, NULL::BIGINT AS failed_step FROM subject""")
+def _(b):
+    """Odd subjects report their first step only, even ones nothing."""
+    steps = remediation.plan_steps(plan_signals(b))
+    sequence = b.estate.subject.select(F.concat(F.lit("S/"), "id").alias("signal_id"), "ingest_seq")
+    first = (
+        steps.join(sequence, "signal_id")
+        .where((F.col("ingest_seq") % 2 == 1) & (F.col("step_order") == 1))
+        .select("signal_id", "step_order", F.lit(True).alias("ok"))
+    )
+    return remediation.execution_ledger(steps, first).withColumn("failed_step", F.col("failed_step").cast("bigint"))
+
+
 @case("execution_ledger", "SELECT signal_id, status, steps_completed, failed_step FROM ledger", LEDGER)
 def _(b):
     steps = remediation.plan_steps(plan_signals(b))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewarden import bind
 from gatewarden.operators import access, features, identity, sod
-from gatewarden.operators.labels import RuleInputs
+from gatewarden.operators.labels import RuleInputs, label_all
 from gatewarden.plans.durable import materialize
 from gatewarden.schemas import Estate
 from gatewarden.sources.tables import stored
@@ -17,6 +17,15 @@ from gatewarden.session import prepare
 from verification.binding_sql import with_ctes
 
 
+# Stored tables that several queries of one session over one folder read.
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget_shared() -> None:
+    """Let the next query build everything anew (for timings)."""
+    _SHARED.clear()
+
+
 class Bound:
     """One run's lazily built inputs over a test-data folder."""
 
@@ -43,15 +52,28 @@ class Bound:
     def pairs(self) -> DataFrame:
         return sod.pair_table(self.spark)
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table stored once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SHARED:
+            _SHARED[key] = materialize(build(), name)
+        return _SHARED[key]
+
     @cached_property
     def features(self) -> DataFrame:
         settings = features.FeatureSettings(
             bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF, with_betweenness=False
         )
-        return materialize(
-            features.subject_features(self.kept.estate, settings, self.kept.members, self.pairs), "features"
+        return self.shared(
+            "features",
+            lambda: features.subject_features(self.kept.estate, settings, self.kept.members, self.pairs),
         )
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """The labels of all rules."""
+        return self.shared("labels", lambda: label_all(self.kept.rules))
+
     @cached_property
     def rules(self) -> RuleInputs:
         return LazyRuleInputs(self)
