@@ -67,12 +67,15 @@ def source_system_counts(members: DataFrame) -> DataFrame:
     return members.select("subject_id", F.col("source_count").alias("source_system_count"))
 
 
-def relationship_features(estate: Estate, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Consistency across systems, violated SoD pairs, deviation from peers."""
+def relationship_features(
+    estate: Estate, members: DataFrame, pairs: DataFrame, scores: DataFrame | None = None
+) -> DataFrame:
+    """Consistency across systems, violated SoD pairs, deviation from peers (``scores`` if known)."""
     consistency = skew_join(
         members.select("subject_id", "component_id"), identity.consistency_scores(members), "component_id"
     ).select("subject_id", "cross_system_consistency_score")
-    deviation = peers.peer_scores(estate).select("subject_id", "peer_group_deviation_score")
+    scores = peers.peer_scores(estate) if scores is None else scores
+    deviation = scores.select("subject_id", "peer_group_deviation_score")
     return (
         estate.subject.select(F.col("id").alias("subject_id"))
         .join(consistency, "subject_id", "left")
@@ -97,7 +100,9 @@ def subject_features(
     """
     event_moment = settings.event_as_of or settings.as_of
     drift_moment = settings.drift_as_of or settings.as_of
-    counts = permission_profile(estate)
+    # Read by several parts, so stored: one row per subject each.
+    counts = materialize(permission_profile(estate), "permission-profile")
+    scores = materialize(peers.peer_scores(estate, counts), "peer-scores")
     parts = [
         counts,
         source_system_counts(members),
@@ -107,15 +112,13 @@ def subject_features(
             F.col("direct_resources").alias("unique_resources_reachable"),
             F.col("escalation_resources").alias("escalation_paths_through_identity"),
         ),
-        peers.peer_scores(estate, counts).select(
-            "subject_id", F.col("permission_to_peer_median_ratio").alias("__ratio"),
-        ),
+        scores.select("subject_id", F.col("permission_to_peer_median_ratio").alias("__ratio")),
         peers.peer_similarity(estate),
         _similarity_of_groups(estate),
         behaviour.activity(estate, event_moment),
         behaviour.usage_ratios(estate),
         drift.permission_drift(estate, drift_moment),
-        relationship_features(estate, members, pairs),
+        relationship_features(estate, members, pairs, scores),
     ]
     links = materialize(graph.edges(estate), "edges")
     parts.append(graph.degree_centrality(estate, links))

@@ -180,9 +180,9 @@ def distance_to_critical(estate: Estate, edge_table: DataFrame | None = None) ->
     """(subject_id, distance_to_nearest_critical_resource); -1 where none is reachable.
 
     One breadth-first search backwards from all critical resources at once. Each
-    level is stored; the search ends with the first empty level.
+    level is stored; the search ends with the first empty level. ``edge_table`` should be stored.
     """
-    links = materialize(edges(estate) if edge_table is None else edge_table, "edges").select("src", "dst")
+    links = (materialize(edges(estate), "edges") if edge_table is None else edge_table).select("src", "dst")
     frontier, seen = materialize_with(
         estate.resource.where(F.col("sensitivity") == "critical")
         .select(node_id("resource", "id").alias("node"))
@@ -329,7 +329,7 @@ def betweenness_centrality(
     pairs, so for a very large graph ``pivots`` takes that many sources by a seeded
     hash and scales the result by n / pivots.
     """
-    links, _ = materialize_with(edges(estate) if edge_table is None else edge_table, "edges", {})
+    links = materialize(edges(estate), "edges") if edge_table is None else edge_table
     links = links.where(F.col("src") != F.col("dst")).select("src", "dst")
     vertex_table, size = materialize_with(
         nodes(estate, links.withColumn("edge_type", F.lit(""))).select("node"),

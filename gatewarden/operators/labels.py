@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gatewarden.functions import fixed_values as fixed
 from gatewarden.functions.scalars import as_of_lit, contains_any, erp_key, half_even, is_erp_action, starts_with_any, whole_days
 from gatewarden.operators import access, identity, sod
+from gatewarden.plans.durable import materialize
 from gatewarden.plans.joins import skew_join
 from gatewarden.schemas import LABEL_COLUMNS, Estate
 
@@ -67,17 +68,103 @@ def _people(inputs: RuleInputs, *columns: str) -> DataFrame:
     )
 
 
-def _component_flags(inputs: RuleInputs, flags: dict[str, Column], *permission_columns: str) -> DataFrame:
-    """Per correlated identity: or of per-permission flags over all that its members hold."""
-    held = access.held(inputs.estate, *permission_columns)
-    per_subject = held.groupBy("subject_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
+# Facts about permissions that rules ask for, one bit each in ``flags``.
+FACTS = (
+    "code", "money", "admin_group", "config", "security", "financial", "identity", "infrastructure",
+    "api", "warehouse_admin", "reports",
+)
+
+
+def _declared_keys() -> Column:
+    return F.coalesce("permission_keys", F.array().cast("array<string>"))
+
+
+def permission_facts(permission: DataFrame) -> DataFrame:
+    """One row per permission: its bits, whether it is privileged, its configuration actions and financial keys."""
+    declared = F.transform(
+        F.filter(_declared_keys(), lambda k: k.isin(*fixed.ERP_ADMIN_KEYS)), lambda k: F.concat(F.lit("netsuite:"), k)
+    )
+    actions = F.concat("actions", declared)
+    name = F.lower("name")
+    # Words are matched as substrings, so two-letter words also match inside longer ones.
+    text = F.lower(F.concat_ws(" ", "name", F.array_join("actions", " ")))
+    category = lambda words: F.col("is_privileged") & contains_any(text, words)
+    tests = {
+        "code": F.exists("actions", lambda a: starts_with_any(a, ("lambda:", "secretsmanager:"))),
+        "money": F.exists("actions", lambda a: is_erp_action(a) & erp_key(a).isin(*fixed.ERP_FINANCIAL_KEYS)),
+        "admin_group": (F.col("type") == "group") & contains_any(name, fixed.ADMIN_GROUP_WORDS),
+        "config": F.exists(
+            actions, lambda a: a.isin(*fixed.CONFIG_ACTIONS) | F.startswith(a, F.lit("netsuite:ADMI_"))
+        ),
+        "security": category(fixed.SECURITY_WORDS),
+        "financial": category(fixed.FINANCIAL_WORDS),
+        "identity": category(fixed.IDENTITY_WORDS),
+        "infrastructure": category(fixed.INFRASTRUCTURE_WORDS),
+        "api": F.exists("actions", lambda a: contains_any(a, ("lambda:", "secretsmanager:", "sts:"))),
+        "warehouse_admin": F.contains(name, F.lit("accountadmin")) & F.col("source").isin("snowflake", "aws_iam"),
+        "reports": F.array_contains(_declared_keys(), "REPT_FINANCIALS")
+        | F.exists("actions", lambda a: F.contains(a, F.lit("REPT_FINANCIALS"))),
+    }
+    flags = F.lit(0)
+    for bit, fact in enumerate(FACTS):
+        flags = flags.bitwiseOR(F.when(tests[fact], F.lit(1 << bit)).otherwise(F.lit(0)))
+    filled = lambda values: F.when(F.size(values) > 0, values)
+    return permission.select(
+        F.col("id").alias("permission_id"),
+        flags.alias("flags"),
+        F.col("is_privileged").cast("int").alias("privileged"),
+        filled(
+            F.filter(actions, lambda a: a.isin(*fixed.CONFIG_ACTIONS) | F.contains(a, F.lit("ADMI_")))
+        ).alias("config_actions"),
+        filled(F.filter(_declared_keys(), lambda k: k.isin(*fixed.ERP_FINANCIAL_KEYS))).alias("financial_keys"),
+    )
+
+
+def held_facts(estate: Estate) -> DataFrame:
+    """Per subject: the facts of all permissions it holds, in one pass over the held pairs.
+
+    Lists hold what the fixed vocabularies bound; only permissions that have any carry them.
+    """
+    kept = estate.derived("held_fact")
+    if kept is not None:
+        return kept
+    held = skew_join(access.active_pairs(estate), permission_facts(estate.permission), "permission_id")
+    listed = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name)
+    per_subject = held.groupBy("subject_id").agg(
+        F.bit_or("flags").alias("flags"),
+        F.coalesce(F.sum("privileged"), F.lit(0)).alias("privileged_role_count"),
+        listed("config_actions"),
+        listed("financial_keys"),
+    )
+    bits = [(F.col("flags").bitwiseAND(F.lit(1 << bit)) != 0).alias(fact) for bit, fact in enumerate(FACTS)]
+    return per_subject.select("subject_id", "privileged_role_count", "config_actions", "financial_keys", *bits)
+
+
+def assignment_hits(estate: Estate) -> DataFrame:
+    """Active assignments that a rule may report: unjustified, of unknown grantor, or break-glass access."""
+    kept = estate.derived("assignment_hit")
+    if kept is not None:
+        return kept
+    rows = access.active_with_permission(estate, "name", "is_privileged", "tags")
+    rows = rows.withColumns(
+        {
+            "unjustified": F.col("permission_is_privileged") & (F.coalesce("justification", F.lit("")) == ""),
+            "unknown_grantor": F.col("granted_by").isNull() | (F.col("granted_by") == "unknown"),
+            "break_glass": is_break_glass(F.col("permission_name"), F.col("permission_tags")),
+        }
+    )
+    return rows.where(F.col("unjustified") | F.col("unknown_grantor") | F.col("break_glass")).select(
+        "subject_id", "permission_name", "granted_by", "granted_at", "unjustified", "unknown_grantor", "break_glass"
+    )
+
+
+def _component_flags(inputs: RuleInputs, *facts: str) -> DataFrame:
+    """Per member of a correlated identity: facts of what it holds."""
+    held = held_facts(inputs.estate).select("subject_id", *facts)
     return (
-        inputs.members.select("subject_id", "component_id", F.col("source").alias("member_source"))
-        .join(per_subject, "subject_id", "left")
-        .select(
-            "component_id", "member_source", "subject_id",
-            *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in flags],
-        )
+        inputs.members.select("subject_id", "component_id")
+        .join(held, "subject_id", "left")
+        .select("component_id", "subject_id", *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in facts])
     )
 
 
@@ -100,12 +187,8 @@ def sod_labels(inputs: RuleInputs) -> DataFrame:
 
 def sod_cross_labels(inputs: RuleInputs) -> DataFrame:
     """Class 1, SOD-R1-CROSS: cloud code or secrets together with financial ERP keys."""
-    code = F.exists("actions", lambda a: starts_with_any(a, ("lambda:", "secretsmanager:")))
-    money = F.exists(
-        "actions", lambda a: is_erp_action(a) & erp_key(a).isin(*fixed.ERP_FINANCIAL_KEYS)
-    )
     flagged = (
-        _component_flags(inputs, {"code": code, "money": money}, "actions")
+        _component_flags(inputs, "code", "money")
         .groupBy("component_id")
         .agg(F.bool_or("code").alias("code"), F.bool_or("money").alias("money"))
         .where(F.col("code") & F.col("money"))
@@ -327,42 +410,13 @@ def service_entropy_labels(inputs: RuleInputs) -> DataFrame:
 
 def admin_group_members(estate: Estate) -> DataFrame:
     """Subjects holding a group permission whose name speaks of administration."""
-    return (
-        access.held(estate, "type", "name")
-        .where((F.col("type") == "group") & contains_any(F.lower("name"), fixed.ADMIN_GROUP_WORDS))
-        .select("subject_id")
-        .distinct()
-    )
+    return held_facts(estate).where("admin_group").select("subject_id")
 
 
 def config_change_labels(inputs: RuleInputs) -> DataFrame:
     """Class 11, UCC-R1: may change configuration but is in no admin group."""
-    declared = F.transform(
-        F.filter(
-            F.coalesce("permission_keys", F.array().cast("array<string>")),
-            lambda k: k.isin(*fixed.ERP_ADMIN_KEYS),
-        ),
-        lambda k: F.concat(F.lit("netsuite:"), k),
-    )
-    action = F.col("action")
-    able = (
-        access.held(inputs.estate, "actions", "permission_keys")
-        .select("subject_id", F.explode(F.concat("actions", declared)).alias("action"))
-        .where(action.isin(*fixed.CONFIG_ACTIONS) | F.contains(action, F.lit("ADMI_")))
-        .groupBy("subject_id")
-        .agg(
-            F.array_sort(F.collect_set("action")).alias("config_actions"),
-            F.bool_or(
-                action.isin(*fixed.CONFIG_ACTIONS) | F.startswith(action, F.lit("netsuite:ADMI_"))
-            ).alias("hit"),
-        )
-        .where(F.col("hit"))
-    )
-    rows = (
-        _people(inputs, "source")
-        .join(able, "subject_id")
-        .join(admin_group_members(inputs.estate), "subject_id", "left_anti")
-    )
+    able = held_facts(inputs.estate).where(F.col("config") & ~F.coalesce("admin_group", F.lit(False)))
+    rows = _people(inputs, "source").join(able, "subject_id")
     return _label(
         rows, 11, "UCC-R1", 0.7,
         {"config_actions": F.col("config_actions"), "is_admin_group_member": F.lit(False)},
@@ -375,15 +429,12 @@ def _justifiable(inputs: RuleInputs) -> DataFrame:
     subjects = _people(inputs, F.col("source").alias("subject_source")).where(
         ~F.col("subject_source").isin("netsuite", "okta")
     )
-    rows = access.active_with_permission(inputs.estate, "name", "is_privileged")
-    return skew_join(rows, subjects, "subject_id").withColumn("source", F.col("subject_source"))
+    return skew_join(assignment_hits(inputs.estate), subjects, "subject_id").withColumn("source", F.col("subject_source"))
 
 
 def unjustified_labels(inputs: RuleInputs) -> DataFrame:
     """Class 12, ABJ-R1-PRIV: privileged assignment without justification, one row each."""
-    rows = _justifiable(inputs).where(
-        F.col("permission_is_privileged") & (F.coalesce("justification", F.lit("")) == "")
-    )
+    rows = _justifiable(inputs).where("unjustified")
     return _label(
         rows, 12, "ABJ-R1-PRIV", 0.6,
         {
@@ -397,7 +448,7 @@ def unjustified_labels(inputs: RuleInputs) -> DataFrame:
 
 def unknown_grantor_labels(inputs: RuleInputs) -> DataFrame:
     """Class 12, ABJ-R1-UNKNOWN: nobody knows who granted it, one row per assignment."""
-    rows = _justifiable(inputs).where(F.col("granted_by").isNull() | (F.col("granted_by") == "unknown"))
+    rows = _justifiable(inputs).where("unknown_grantor")
     return _label(
         rows, 12, "ABJ-R1-UNKNOWN", 0.5,
         {"permission": F.col("permission_name"), "granted_by": F.col("granted_by")},
@@ -406,31 +457,11 @@ def unknown_grantor_labels(inputs: RuleInputs) -> DataFrame:
 
 
 def privileged_categories(estate: Estate) -> DataFrame:
-    """Per subject: number of privileged permissions and the categories they touch.
-
-    Words are matched as substrings of name and actions, so two-letter words also
-    match inside longer ones.
-    """
-    text = F.lower(F.concat_ws(" ", "name", F.array_join("actions", " ")))
-    categories = {
-        "security": fixed.SECURITY_WORDS,
-        "financial": fixed.FINANCIAL_WORDS,
-        "identity": fixed.IDENTITY_WORDS,
-        "infrastructure": fixed.INFRASTRUCTURE_WORDS,
-    }
-    return (
-        access.held(estate, "name", "actions", "is_privileged")
-        .where(F.col("is_privileged"))
-        .withColumn("text", text)
-        .groupBy("subject_id")
-        .agg(
-            F.count(F.lit(1)).alias("privileged_role_count"),
-            *[F.bool_or(contains_any(F.col("text"), words)).alias(n) for n, words in categories.items()],
-        )
-        .withColumn(
-            "categories",
-            F.array_sort(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in categories]))),
-        )
+    """Per subject: number of privileged permissions and the categories they touch."""
+    names = ("security", "financial", "identity", "infrastructure")
+    return held_facts(estate).where(F.col("privileged_role_count") > 0).select(
+        "subject_id", "privileged_role_count", *names,
+        F.array_sort(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))).alias("categories"),
     )
 
 
@@ -470,8 +501,8 @@ def break_glass_labels(inputs: RuleInputs) -> DataFrame:
     """Class 14, BGA-R1: break-glass access held for two whole days or more."""
     age = F.coalesce(whole_days(as_of_lit(inputs.as_of), F.col("granted_at")), F.lit(0))
     rows = (
-        access.active_with_permission(inputs.estate, "name", "tags")
-        .where(is_break_glass(F.col("permission_name"), F.col("permission_tags")))
+        assignment_hits(inputs.estate)
+        .where("break_glass")
         .withColumn("age_days", age)
         .where(F.col("age_days") > 1)
     )
@@ -490,19 +521,7 @@ def break_glass_labels(inputs: RuleInputs) -> DataFrame:
 
 def financial_bypass_labels(inputs: RuleInputs) -> DataFrame:
     """Class 15, CBFB-R1-AWS-NS: cloud API access plus financial ERP keys across systems."""
-    api = F.exists(
-        "actions", lambda a: contains_any(a, ("lambda:", "secretsmanager:", "sts:"))
-    )
-    keys = F.filter(
-        F.coalesce("permission_keys", F.array().cast("array<string>")),
-        lambda k: k.isin(*fixed.ERP_FINANCIAL_KEYS),
-    )
-    held = access.held(inputs.estate, "actions", "permission_keys").select(
-        "subject_id", api.alias("api"), F.explode_outer(keys).alias("key")
-    )
-    per_subject = held.groupBy("subject_id").agg(
-        F.bool_or("api").alias("api"), F.collect_set("key").alias("keys")
-    )
+    per_subject = held_facts(inputs.estate).select("subject_id", "api", F.col("financial_keys").alias("keys"))
     risky = inputs.estate.escalation_path.select("subject_id").distinct().withColumn("risky", F.lit(True))
     spanning = inputs.members.where(_spans("aws_iam", "netsuite"))
     cloud, erp = F.col("source") == "aws_iam", F.col("source") == "netsuite"
@@ -538,17 +557,7 @@ def financial_bypass_labels(inputs: RuleInputs) -> DataFrame:
 
 def warehouse_bypass_labels(inputs: RuleInputs) -> DataFrame:
     """Class 15, CBFB-R1-SF-NS: account administration plus financial reports."""
-    admin = F.contains(F.lower("name"), F.lit("accountadmin")) & F.col("source").isin("snowflake", "aws_iam")
-    reports = F.array_contains(
-        F.coalesce("permission_keys", F.array().cast("array<string>")), "REPT_FINANCIALS"
-    ) | F.exists("actions", lambda a: F.contains(a, F.lit("REPT_FINANCIALS")))
-    flagged = (
-        access.held(inputs.estate, "name", "source", "actions", "permission_keys")
-        .groupBy("subject_id")
-        .agg(F.bool_or(admin).alias("admin"), F.bool_or(reports).alias("reports"))
-        .where(F.col("admin") & F.col("reports"))
-        .select("subject_id")
-    )
+    flagged = held_facts(inputs.estate).where(F.col("warehouse_admin") & F.col("reports")).select("subject_id")
     rows = inputs.members.join(flagged, "subject_id", "left_semi")
     return _label(
         rows, 15, "CBFB-R1-SF-NS", 0.85,
@@ -588,10 +597,28 @@ RULES: dict[str, Callable[[RuleInputs], DataFrame]] = {
 }
 
 
+class _Prepared:
+    """Rule inputs whose estate carries the stored facts that several rules read."""
+
+    def __init__(self, inputs: RuleInputs):
+        self._inputs = inputs
+        self.estate = inputs.estate.with_derived(
+            held_fact=materialize(held_facts(inputs.estate), "held-facts"),
+            assignment_hit=materialize(assignment_hits(inputs.estate), "assignment-hits"),
+        )
+
+    def __getattr__(self, name: str):
+        return getattr(self._inputs, name)
+
+
 def label_all(inputs: RuleInputs) -> DataFrame:
-    """All rules' labels, one row per hit. A rule that fails, fails the job."""
+    """All rules' labels, one row per hit. A rule that fails, fails the job.
+
+    Held permissions and assignments are joined with the permissions once each.
+    """
+    prepared = _Prepared(inputs)
     result = None
     for rule in RULES.values():
-        rows = rule(inputs).select(*LABEL_COLUMNS)
+        rows = rule(prepared).select(*LABEL_COLUMNS)
         result = rows if result is None else result.unionByName(rows)
     return result
