@@ -125,8 +125,11 @@ def nodes(estate: Estate, edge_table: DataFrame | None = None) -> DataFrame:
     return tagged.groupBy("node").agg(F.coalesce(F.max("node_type"), F.lit("unknown")).alias("node_type"))
 
 
-def graph_statistics(estate: Estate) -> DataFrame:
-    """Long table (metric, value): nodes and edges in all and by type, and entity counts."""
+def graph_statistics(estate: Estate, snapshots: DataFrame | None = None) -> DataFrame:
+    """Long table (metric, value): nodes and edges in all and by type, entity and source counts.
+
+    ``snapshots`` (source, extracted_at), if given, adds the number of extractions taken in.
+    """
     links = edges(estate)
     by_node = nodes(estate, links).groupBy("node_type").agg(F.count(F.lit(1)).alias("value"))
     by_edge = links.groupBy("edge_type").agg(F.count(F.lit(1)).alias("value"))
@@ -145,6 +148,14 @@ def graph_statistics(estate: Estate) -> DataFrame:
                 F.lit(f"{entity}s").alias("metric"), "value"
             )
         )
+    sources = estate.subject.select("source").union(estate.permission.select("source"))
+    counted = {"sources": sources}
+    if snapshots is not None:
+        counted["snapshots_ingested"] = snapshots.select("source", "extracted_at")
+    for metric, rows in counted.items():
+        out = out.unionByName(
+            rows.distinct().agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), "value")
+        )
     return out.select("metric", F.col("value").cast("bigint").alias("value"))
 
 
@@ -318,6 +329,21 @@ def blast_radius(estate: Estate) -> DataFrame:
     )
 
 
+def _useful_sources(links: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Sources from which a path can lead through a subject.
+
+    Such a path enters the subject by an edge. Where all edges into subjects leave subjects, its
+    source is a subject with an edge to a subject too; otherwise every node is taken.
+    """
+    is_subject = lambda c: F.startswith(c, F.lit("subject:"))
+    entering = links.where(is_subject(F.col("dst")))
+    starts, seen = materialize_with(
+        entering.select(F.col("src").alias("source")).distinct(), "path-sources",
+        {"others": F.count_if(~is_subject(F.col("source")))},
+    )
+    return starts if not seen.get("others") else vertices.select(F.col("node").alias("source"))
+
+
 def betweenness_centrality(
     estate: Estate, edge_table: DataFrame | None = None, pivots: int | None = None, seed: int = 7
 ) -> DataFrame:
@@ -325,9 +351,10 @@ def betweenness_centrality(
 
     Shortest-path counts are pushed forward level by level for all sources at once
     (rows: source, node, sigma), then dependencies are pulled back over the same
-    levels. Exact by default; its work is the number of (source, reachable node)
-    pairs, so for a very large graph ``pivots`` takes that many sources by a seeded
-    hash and scales the result by n / pivots.
+    levels. Exact by default, from the sources whose paths can pass through a subject
+    at all (managers and members of groups); its work is the number of their (source,
+    reachable node) pairs, so for a very large graph ``pivots`` takes that many of all
+    nodes by a seeded hash and scales the result by n / pivots.
     """
     links = materialize(edges(estate), "edges") if edge_table is None else edge_table
     links = links.where(F.col("src") != F.col("dst")).select("src", "dst")
@@ -340,9 +367,10 @@ def betweenness_centrality(
     subjects = estate.subject.select(F.col("id").alias("subject_id"), node_id("subject", "id").alias("node"))
     if n <= 2:
         return subjects.select("subject_id", F.lit(0.0).alias("betweenness_centrality"))
-    sources = vertex_table.select(F.col("node").alias("source"))
+    sources = _useful_sources(links, vertex_table)
     scale = 1.0
     if pivots is not None and pivots < n:
+        sources = vertex_table.select(F.col("node").alias("source"))
         sources = sources.orderBy(F.xxhash64("source", F.lit(seed)), "source").limit(pivots)
         scale = n / pivots
     start = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma"))

@@ -235,6 +235,31 @@ def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
     return ranked.offset((number - 1) * size).limit(size)
 
 
+def total(signals: DataFrame) -> DataFrame:
+    """One row: how many rows a listing has in all."""
+    return signals.groupBy().agg(F.count(F.lit(1)).alias("total"))
+
+
+def page_after(
+    signals: DataFrame, size: int, tie_break: str, last: tuple[str, float, str] | None = None
+) -> DataFrame:
+    """The next ``size`` rows in rank order after ``last`` (severity, confidence, tie break) of the page before.
+
+    Only the rows of one page are gathered, however deep the page lies.
+    """
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError("1 <= page size <= 200")
+    if last is not None:
+        severity, confidence, key = last
+        level, before = severity_rank(F.col("severity")), severity_rank(F.lit(severity))
+        signals = signals.where(
+            (level > before)
+            | ((level == before) & (F.col("confidence") < confidence))
+            | ((level == before) & (F.col("confidence") == confidence) & (F.col(tie_break) > key))
+        )
+    return rank(signals, tie_break).limit(size)
+
+
 def list_signals(
     signals: DataFrame,
     severity: str | None = None,

@@ -11,8 +11,6 @@ from gatewarden.plans.durable import materialize_with
 # A key is hot when it holds more than 1/HOT_KEY_DIVISOR of the rows, so there
 # can never be more than HOT_KEY_DIVISOR hot keys: the list is safe to broadcast.
 HOT_KEY_DIVISOR = 200
-# A hot key's rows are dealt over this many reducers.
-HOT_KEY_SALTS = 64
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -25,34 +23,46 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
+def plan_nodes(df: DataFrame) -> set[str]:
+    """Kinds of the optimised plan's operators."""
+    found, waiting = set(), [df._jdf.queryExecution().optimizedPlan()]
+    while waiting:
+        node = waiting.pop()
+        found.add(node.nodeName())
+        children = node.children()
+        waiting.extend(children.apply(i) for i in range(children.size()))
+    return found
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """True when the estimated size of ``df`` is below the broadcast threshold."""
-    return 0 <= estimated_bytes(df) <= broadcast_limit(df)
+    """True when the estimated size is below the broadcast threshold and rows are not multiplied on the way.
+
+    The estimate counts an exploded row like the row it came from.
+    """
+    return 0 <= estimated_bytes(df) <= broadcast_limit(df) and "Generate" not in plan_nodes(df)
 
 
 def size_is_known(df: DataFrame) -> bool:
     """True when the estimate rests on file sizes.
 
-    Above a join it is a mere product, and for rows handed over by the driver it
-    is a placeholder.
+    Above a join or an explode it is a guess, and for rows handed over by the driver it is a placeholder.
     """
-    if estimated_bytes(df) >= 2**62:
-        return False
-    return "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    return estimated_bytes(df) < 2**62 and not plan_nodes(df) & {"Join", "Generate"}
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys of ``df`` that hold more than 1/HOT_KEY_DIVISOR of its rows.
+    """Keys of ``df`` that hold more than 1/HOT_KEY_DIVISOR of its rows, and over how many salts to deal them.
 
-    The per-key counts are combined map-side and written once; the total comes
-    along with that write. At most HOT_KEY_DIVISOR rows can qualify.
+    The per-key counts are combined map-side and written once; the total comes along with that
+    write. At most HOT_KEY_DIVISOR rows can qualify. A key gets as many salts as its share of the
+    rows fills shuffle partitions.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
     stored, seen = materialize_with(counts, "key-counts", {"total": F.sum("__rows")})
     total = int(seen.get("total") or 0)
-    return stored.where(F.col("__rows") * HOT_KEY_DIVISOR > F.lit(total)).select(
-        *on, F.lit(True).alias("__hot")
-    )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.greatest(F.lit(2), F.ceil(F.col("__rows") * F.lit(partitions) / F.lit(max(total, 1))).cast("int"))
+    return stored.where(F.col("__rows") * HOT_KEY_DIVISOR > F.lit(total)).select(*on, salts.alias("__salts"))
 
 
 def skew_join(
@@ -86,19 +96,16 @@ def skew_join(
             return big.join(small, keys, how)
 
     hot = F.broadcast(hot_keys(big, keys))
-    spread = F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(HOT_KEY_SALTS)).cast("int")
+    spread = F.xxhash64(*(spread_by or big.columns))
+    anywhere = F.lit(int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key_missing = F.lit(False)
     for key in keys:
         key_missing = key_missing | F.col(key).isNull()
     dealt = big.join(hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | key_missing, spread).otherwise(F.lit(0))
-    ).drop("__hot")
-    repeated = small.join(hot, keys, "left").withColumn(
         "__salt",
-        F.explode(
-            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_KEY_SALTS - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    ).drop("__hot")
+        F.pmod(spread, F.coalesce("__salts", F.when(key_missing, anywhere), F.lit(1))).cast("int"),
+    ).drop("__salts")
+    repeated = small.join(hot, keys, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    ).drop("__salts")
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")

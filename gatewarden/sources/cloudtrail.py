@@ -191,7 +191,7 @@ def in_range(records: DataFrame, column: str, start: str, end: str) -> DataFrame
 
 
 def parse_lake_rows(rows: DataFrame) -> DataFrame:
-    """Flat lake rows (JSON text in two columns) as records, in time order when sorted by caller.
+    """Flat lake rows (JSON text in two columns) as records, in no order.
 
     Empty error codes are no error; unreadable JSON counts as empty.
     """
@@ -205,7 +205,7 @@ def parse_lake_rows(rows: DataFrame) -> DataFrame:
         ).alias("requestParameters"),
         F.array().cast("array<struct<ARN:string>>").alias("resources"), "sourceIPAddress", "userAgent",
         F.nullif("errorCode", F.lit("")).alias("errorCode"), "errorMessage",
-    ).orderBy("eventTime")
+    )
 
 
 def parse_lookup_rows(rows: DataFrame) -> DataFrame:

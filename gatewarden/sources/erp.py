@@ -51,9 +51,22 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in SCHEMAS.items()}
 
 
-def read_jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The same tables straight from the ERP's database."""
-    return {name: spark.read.jdbc(url, name, properties=properties or {}) for name in SCHEMAS}
+def read_jdbc_tables(
+    spark: SparkSession, url: str, properties: dict[str, str] | None = None,
+    slices: dict[str, tuple[str, int, int, int]] | None = None,
+) -> dict[str, DataFrame]:
+    """The same tables straight from the ERP's database.
+
+    ``slices`` names, per table that should be read by several tasks, a numeric column, its lowest
+    and highest value and the number of tasks; other tables are read by one.
+    """
+    tables = {}
+    for name in SCHEMAS:
+        column, low, high, tasks = (slices or {}).get(name, (None, None, None, None))
+        tables[name] = spark.read.jdbc(
+            url, name, column=column, lowerBound=low, upperBound=high, numPartitions=tasks, properties=properties or {}
+        )
+    return tables
 
 
 def employees(employee: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ UNION ALL SELECT 'edges:' || edge_type, count(*) FROM edge GROUP BY 1
 UNION ALL SELECT 'total_nodes', count(*) FROM node UNION ALL SELECT 'total_edges', count(*) FROM edge
 UNION ALL SELECT 'subjects', count(*) FROM subject UNION ALL SELECT 'permissions', count(*) FROM permission
 UNION ALL SELECT 'resources', count(*) FROM resource UNION ALL SELECT 'assignments', count(*) FROM assignment
-UNION ALL SELECT 'escalation_paths', count(*) FROM path""")
+UNION ALL SELECT 'escalation_paths', count(*) FROM path
+UNION ALL SELECT 'sources', count(DISTINCT source) FROM (SELECT source FROM subject UNION ALL SELECT source FROM permission)""")
 def _(b):
     return graph.graph_statistics(b.estate)
 

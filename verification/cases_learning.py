@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatewarden import bind
+from gatewarden.functions.fixed_values import MODEL_IDS
 from gatewarden.functions.scalars import as_of_lit
 from gatewarden.operators import access, features as feats, graph, injection, labels, learning
 from gatewarden.plans.durable import durable_root, materialize
@@ -159,48 +160,37 @@ def _(b):
     )
 
 
-def small_vectors(b):
-    """Vectors of profile and permission counts (training cost is in the trees, not here)."""
-    from pyspark.ml.feature import VectorAssembler
+# The declared 200 rounds per class are 3,000 trees, too many for a query that runs beside others;
+# classes, features and depth are the declared ones.
+ROUNDS = 2
 
-    rows = feats.profile(b.estate, bind.AS_OF).join(access.permission_counts(b.estate), "subject_id", "left").fillna(0)
-    coded = feats.with_vector_codes(rows)
-    inputs = [
-        "type_code", "status_code", "department_code", "account_age_days", "days_since_last_activity",
-        "mfa_usage_rate", "total_permissions", "privileged_permissions", "permission_concentration",
-    ]
-    return materialize(
-        VectorAssembler(inputCols=inputs, outputCol="features").transform(coded).select("subject_id", "features"),
-        "vectors",
-    )
+
+def training(b):
+    """The flat vectors of all subjects with the labels of all rules."""
+    vectors = feats.flat_vectors(b.features)
+    return vectors, b.shared("training", lambda: learning.training_set([(vectors, b.labels)]))
 
 
 @case("trained_model_metrics")
 def _(b):
-    vectors = small_vectors(b)
-    training = learning.training_set([(vectors, b.labels)])
-    models, metrics = learning.train_all(materialize(training, "training"), classes=(8, 15), rounds=3, depth=3)
-    return metrics
+    return learning.train_all(training(b)[1], rounds=ROUNDS)[1]
 
 
 @case("scored_signals")
 def _(b):
-    vectors = small_vectors(b)
-    training = materialize(learning.training_set([(vectors, b.labels)]), "training")
-    model, _ = learning.train_class(training, 8, rounds=2, depth=3)
-    ranked = learning.score_all(
-        {"ZT-06": learning.spark_scorer(model)}, vectors, graph.blast_radius(b.estate), as_of_lit(bind.AS_OF)
-    )
+    vectors, rows = training(b)
+    models, _ = learning.train_all(rows, rounds=ROUNDS)
+    scorers = {MODEL_IDS[c]: learning.spark_scorer(model) for c, model in models.items()}
+    ranked = learning.score_all(scorers, vectors, graph.blast_radius(b.estate), as_of_lit(bind.AS_OF))
     return ranked.select("signal_id", "model_id", "entity_id", "confidence", "severity")
 
 
 @case("fine_tuned_metrics")
 def _(b):
-    vectors = small_vectors(b)
-    training = materialize(learning.training_set([(vectors, b.labels)]), "training")
-    model, _ = learning.train_class(training, 8, rounds=2, depth=2)
+    vectors, rows = training(b)
+    model, _ = learning.train_class(rows, 8, rounds=ROUNDS)
     merged = learning.merge_labels(three_sources(b))
-    return learning.fine_tune(model, vectors, merged, 2, rounds=2, depth=2)[1]
+    return learning.fine_tune(model, vectors, merged, 2, rounds=ROUNDS)[1]
 
 
 # --- streaming -------------------------------------------------------------------------------

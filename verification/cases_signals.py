@@ -146,6 +146,19 @@ def _(b):
     return signals.page(ranked, 2, 50)
 
 
+@case("signal_listing_total", "SELECT count(*) AS total FROM signal", SIGNALS)
+def _(b):
+    return signals.total(model_signals(b))
+
+
+@case("signal_page_after", f"""
+SELECT signal_id, severity, confidence FROM signal WHERE severity IN ('medium', 'low') OR (severity = 'high' AND (confidence < 0.9
+  OR (confidence = 0.9 AND signal_id > 'ZT-02/S5'))) ORDER BY {RANK}, confidence DESC, signal_id LIMIT 100""", SIGNALS)
+def _(b):
+    columns = model_signals(b).select("signal_id", "severity", "confidence")
+    return signals.page_after(columns, 100, "signal_id", ("high", 0.9, "ZT-02/S5"))
+
+
 @case("filtered_signals", """
 SELECT signal_id, severity FROM signal WHERE severity = 'high' AND model_id = 'SOX-02'""", SIGNALS)
 def _(b):
