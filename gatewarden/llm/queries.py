@@ -30,12 +30,98 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_quality_rules")
+def _quality_sql(risk: quality_rules.Risk = quality_rules.Risk()) -> str:
+    """The quality rules once more, with the binomial sums from the gamma function."""
+    rules = quality_rules.RULES
+    share = risk.false_rejections / len(rules)
+    levels = " UNION ALL ".join(
+        f"SELECT lang, good, '{rule}' AS rule, len(list_filter({sorted(grid)}, lambda c: {rule} > c)) AS level FROM holdout"
+        for rule, grid in rules.items()
+    )
+    grids = " ".join(f"WHEN '{rule}' THEN {sorted(grid)}[level]" for rule, grid in rules.items())
+    limits = ", ".join(f"max(cutoff) FILTER (rule = '{rule}') AS {rule}_limit" for rule in rules)
+    fired = ", ".join(f"CASE WHEN {rule} > {rule}_limit THEN '{rule}' END" for rule in rules)
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts),
+windows AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM parts)),
+repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY rid),
+counts AS (
+  SELECT p.doc_id, p.lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM parts p LEFT JOIN covered c USING (rid)),
+facts AS (
+  SELECT *, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) AS long_word_mean,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+judged AS (
+  SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+holdout AS (SELECT f.*, j.good FROM facts f JOIN judged j USING (doc_id) WHERE NOT base_failed),
+levels AS ({levels}),
+named AS (
+  SELECT lang, count(*) FILTER (good) AS n FROM holdout WHERE lang IS NOT NULL GROUP BY lang
+  HAVING count(*) FILTER (good) >= {risk.min_good} ORDER BY n DESC, lang LIMIT {risk.max_strata}),
+tally AS (
+  SELECT coalesce(n.lang, '*') AS stratum, rule, level, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
+  FROM levels l LEFT JOIN named n ON n.lang = l.lang GROUP BY 1, 2, 3),
+found AS (
+  SELECT *, sum(good) OVER whole AS n_good, sum(bad) OVER whole AS n_bad, sum(good) OVER above AS good_rejected, sum(bad) OVER above AS bad_rejected
+  FROM tally WINDOW whole AS (PARTITION BY stratum, rule),
+    above AS (PARTITION BY stratum, rule ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sizes AS (
+  SELECT stratum, max(n_good) AS n, {risk.error} / ({len(rules)} * (SELECT count(DISTINCT stratum) FROM tally)) AS error
+  FROM found GROUP BY stratum),
+sums AS (
+  SELECT stratum, error, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
+    OVER (PARTITION BY stratum ORDER BY i) AS below
+  FROM (SELECT *, unnest(range(0, CAST(ceil(n * {share}) AS BIGINT) + 1)) AS i FROM sizes) WHERE i <= n),
+allowed AS (SELECT stratum, max(i) AS k FROM sums WHERE below <= error GROUP BY stratum),
+chosen AS (
+  SELECT stratum, rule, level, CASE rule {grids} END AS cutoff,
+    row_number() OVER (PARTITION BY stratum, rule ORDER BY bad_rejected / n_bad - coalesce(good_rejected / nullif(n_good, 0), 0) DESC, level DESC) AS place
+  FROM found JOIN allowed USING (stratum)
+  WHERE level > 0 AND good_rejected <= k AND n_bad > 0 AND bad_rejected / n_bad >= {risk.min_capture}
+    AND bad_rejected / n_bad - coalesce(good_rejected / nullif(n_good, 0), 0) > 0),
+limits AS (SELECT stratum, {limits} FROM chosen WHERE place = 1 GROUP BY stratum),
+fired AS (
+  SELECT f.*, array_to_string(list_filter([{fired}], lambda x: x IS NOT NULL), ',') AS rules_fired
+  FROM facts f LEFT JOIN named n ON n.lang = f.lang LEFT JOIN limits l ON l.stratum = coalesce(n.lang, '*'))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rules_fired = '' AS kept, rules_fired FROM fired
+"""
+
+
+@query("op1_quality_rules", _quality_sql())
 def quality(spark, read):
     return quality_rules.quality_verdicts(read("documents"), read("labels"))
 
 
-@query("op4_substring_dedup")
+REPEATS_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words WHERE doc_id IS NOT NULL AND len(ws) >= 13),
+windows AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM starts),
+gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 13)) AS j
+  FROM (SELECT rid, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS later FROM windows) WHERE later),
+marked AS (
+  SELECT w.rid, w.doc_id, w.j, w.word, g.j IS NOT NULL AS removed
+  FROM (SELECT rid, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM words) w LEFT JOIN gone g ON g.rid = w.rid AND g.j = w.j),
+kept AS (
+  SELECT rid, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT removed), '') AS text
+  FROM marked GROUP BY rid)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (rid)
+"""
+
+
+@query("op4_substring_dedup", REPEATS_SQL)
 def repeats(spark, read):
     return substrings.digest(substrings.deduplicated(read("documents")))
 
