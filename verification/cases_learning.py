@@ -138,6 +138,23 @@ def _(b):
     return learning.rule_recall(found, truth)
 
 
+RECALL = """
+SELECT violation_class, tp, fp, fn, coalesce(round(tp / nullif(tp + fn, 0)::DOUBLE, 4), 0) AS recall,
+ coalesce(round(tp / nullif(tp + fp, 0)::DOUBLE, 4), 0) AS precision FROM (
+ SELECT violation_class, count(*) FILTER (t AND f) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (t AND NOT f) AS fn FROM (
+  SELECT subject_id, violation_class, bool_or(k = 't') AS t, bool_or(k = 'f') AS f FROM (
+   SELECT subject_id, violation_class, 'f' AS k FROM label_row
+   UNION ALL SELECT 'S' || c_custkey, c, 't' FROM customer, (SELECT unnest([1, 2, 3]) AS c) WHERE c_custkey % 2 = 0 AND (c_custkey + c) % 2 = 0)
+  GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@case("rule_recall_on_labels", RECALL, LABELS)
+def _(b):
+    """All rules against the labels that people gave."""
+    human = three_sources(b).where(F.col("source") == "human")
+    return learning.rule_recall(b.labels, human)
+
+
 @case("flat_vectors")
 def _(b):
     from pyspark.ml.functions import vector_to_array
