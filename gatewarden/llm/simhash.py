@@ -147,7 +147,9 @@ def walk(
         if not len(a):
             continue
         if bit == BITS:
-            raise ValueError("fingerprints must be distinct within a crowd")
+            # No bit is left to divide by: wider fingerprints may agree in this part.
+            yield from _equal_pairs(a, a_end, b, b_end)
+            continue
         a_mid, b_mid = _split(fp, a, a_end, bit), _split(fp, b, b_end, bit)
         same = (a == b) & (a_end == b_end)
         pairs = [
@@ -166,6 +168,18 @@ def walk(
             stack.append((a[part], a_end[part], b[part], b_end[part], differ[part], bit + 1))
 
 
+def _equal_pairs(a, a_end, b, b_end) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs between the ranges of node pairs, some at a time."""
+    for low, high, other, other_end in zip(a.tolist(), a_end.tolist(), b.tolist(), b_end.tolist(), strict=True):
+        step = max(1, FRONTIER // (other_end - other))
+        for at in range(low, high, step):
+            i = np.arange(at, min(high, at + step))
+            j = np.arange(other, other_end)
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+            ahead = (i < j) if low == other else np.ones(len(i), bool)
+            yield i[ahead], j[ahead]
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     new = np.zeros(len(keys[0]), bool)
@@ -200,6 +214,18 @@ class Forest:
             x = parent[x]
         return x
 
+    def joining(self, x: np.ndarray, y: np.ndarray) -> Iterator[int]:
+        """Indexes of the pairs that join two trees, in order."""
+        step = 10_000
+        for at in range(0, len(x), step):
+            # Most pairs of a large group are in one tree already; those are left out together.
+            xs, ys = x[at : at + step], y[at : at + step]
+            ends, place = np.unique(np.concatenate([xs, ys]), return_inverse=True)
+            roots = np.array([self.root(e) for e in ends.tolist()])[place]
+            for k in np.flatnonzero(roots[: len(xs)] != roots[len(xs) :]).tolist():
+                if self.join(int(xs[k]), int(ys[k])):
+                    yield at + k
+
     def join(self, x: int, y: int) -> bool:
         x, y = self.root(x), self.root(y)
         if x == y:
@@ -230,8 +256,7 @@ def _links_of(first: int, reach: int, limit: int):
             for i, j in walk(fp, crowd, side, differ, first, reach):
                 near = np.bitwise_count(parts[i] ^ parts[j]).sum(axis=1, dtype=np.int64) <= limit
                 i, j = i[near], j[near]
-                pairs = zip(place[i].tolist(), place[j].tolist(), strict=True)
-                kept = [k for k, (x, y) in enumerate(pairs) if forest.join(x, y)]
+                kept = list(forest.joining(place[i], place[j]))
                 if kept:
                     u, v = vertex[i[kept]], vertex[j[kept]]
                     yield pa.RecordBatch.from_arrays(
@@ -307,7 +332,7 @@ def links(distinct: DataFrame, limit: int = 3, reach: int | None = None, blocks:
             {"n": F.count(F.lit(1))},
         )
         small, members = members, None
-        if seen.get("n"):
+        if seen.get("n") and first + LEVELS <= BITS:
             told = small.join(crowded, "crowd", "left")
             small = told.where(F.col("crowded").isNull()).drop("crowded")
             members = told.where(F.col("crowded")).drop("crowded")
@@ -316,8 +341,6 @@ def links(distinct: DataFrame, limit: int = 3, reach: int | None = None, blocks:
         found = part if found is None else found.union(part)
         if members is None:
             return found
-        if first + LEVELS > BITS:
-            raise ValueError("fingerprints must be distinct")
         members = materialize(_deeper(members, first, reach), "simhash-deeper")
         first += LEVELS
 
