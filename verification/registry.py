@@ -61,9 +61,7 @@ class Bound:
 
     @cached_property
     def features(self) -> DataFrame:
-        settings = features.FeatureSettings(
-            bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF, with_betweenness=False
-        )
+        settings = features.FeatureSettings(bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF)
         return self.shared(
             "features",
             lambda: features.subject_features(self.kept.estate, settings, self.kept.members, self.pairs),
