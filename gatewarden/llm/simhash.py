@@ -15,9 +15,9 @@ first trie levels are walked by Spark, as rows per node pair, until every part i
 ``components`` takes the strict setting: one 64-bit fingerprint, every pair within 3 bits is linked.
 ``near_copies`` looks for texts whose sets of 5-word shingles overlap by 0.8 or more, which changes
 a sixth of the bits: it takes four fingerprints (256 bits), reaches a pair if any of their 16 blocks
-agrees and links it if at most ``WIDE_LIMIT`` of all bits differ. By the binomial distribution of
-the bits a pair of overlap 0.95 is found with probability over 0.99, of 0.9 about 0.95, of 0.85
-about 0.8; unrelated texts differ in 128 bits and are never linked.
+agrees and links it if at most ``WIDE_LIMIT`` of all bits differ. That is probabilistic: measured on
+pairs of texts it links all of overlap 0.95 and more, 95 % from 0.90, 88 % from 0.85, 72 % from 0.80,
+32 % from 0.75, 7 % from 0.70. Unrelated texts differ in about 128 bits and are never linked.
 
 Defined results
     null text, no words    fingerprint zero, linked like any other
