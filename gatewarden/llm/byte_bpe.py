@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 LONG = 64
 #: Rows that one recursive query may make (sum of squared piece lengths).
 PORTION = 3_000_000
-#: Pieces that a worker remembers.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers, and as many again of those before.
+REMEMBERED = 300_000
 DUCKDB_MEMORY = "300MB"
 
 _MERGE = """
@@ -81,7 +81,10 @@ class Codec:
         self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # Ids (32-bit little-endian) and decoded bytes of pieces; what is not met again is forgotten.
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         merges = [
             (ranks[whole[:i]], ranks[whole[i:]], rank)
             for whole, rank in ranks.items()
@@ -121,7 +124,8 @@ class Codec:
             self._merge(portion)
 
     def _keep(self, piece: str, raw: bytes, ids: list[int], decoded: bytes) -> None:
-        self.known[piece] = np.array(ids, "<i4").tobytes(), raw if decoded == raw else decoded
+        self.ids[piece] = np.array(ids, "<i4").tobytes()
+        self.decoded[piece] = raw if decoded == raw else decoded
 
     def _merge(self, portion: list[tuple[str, bytes]]) -> None:
         sizes = np.array([len(raw) for _, raw in portion])
@@ -167,17 +171,19 @@ class Codec:
     def run(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids (32-bit little-endian) and decoded bytes of each text."""
         split = [self.split(text) if text else [] for text in texts]
-        missing = {piece for pieces in split for piece in pieces if piece not in self.known}
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = {piece for pieces in split for piece in pieces}
-        self.learn(missing)
-        ids, decoded = [], []
-        for pieces in split:
-            found = [self.known[piece] for piece in pieces]
-            ids.append(b"".join([x[0] for x in found]))
-            decoded.append(b"".join([x[1] for x in found]))
-        return ids, decoded
+        wanted = set().union(*split)
+        if len(self.ids) + len(wanted) > REMEMBERED:
+            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        missing = wanted.difference(self.ids)
+        ids, decoded = self.older
+        met = missing.intersection(ids)
+        self.ids.update(zip(met, map(ids.__getitem__, met)))
+        self.decoded.update(zip(met, map(decoded.__getitem__, met)))
+        self.learn(missing - met)
+        return (
+            [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split],
+            [b"".join(map(self.decoded.__getitem__, pieces)) for pieces in split],
+        )
 
 
 _CODECS: dict[tuple, Codec] = {}

@@ -46,8 +46,8 @@ def test_recursive_query_and_heap_agree_with_the_library(library):
     pieces |= {"a" * n for n in range(1, 90)} | {"ab" * n for n in range(1, 60)}
     codec._merge([(p, p.encode()) for p in pieces])
     for piece in pieces:
-        ids, decoded = codec.known[piece]
-        assert decoded == piece.encode()
+        ids = codec.ids[piece]
+        assert codec.decoded[piece] == piece.encode()
         want = library._core_bpe.encode_single_piece(piece.encode())
         assert codec.contracted(piece.encode()) == want
         if piece.encode() not in codec.ranks:
