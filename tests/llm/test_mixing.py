@@ -62,3 +62,17 @@ def test_odd_rows_and_empty_table(odd_docs, no_docs):
     assert len(set(repeated)) == 1
     assert {r.topic for r in rows if r.doc_id in (5, 6)} == {"other"}
     assert mixing.mixed(no_docs).count() == 0
+
+
+def test_topics_ignore_case_and_need_whole_addresses(spark):
+    want = {
+        "TOKEN = 9233": "technical", "a Token": "technical", "SECRET": "technical", "Secret": "technical",
+        "PassWord": "technical", "my apikey": "technical", "API_KEY": "technical", "Api-Key": "technical",
+        "HTTPS://EXAMPLE": "technical", "Http://x": "technical", "ALL RIGHTS RESERVED": "legal",
+        "All Rights Reserved": "legal", "LiCeNcE": "legal", "CopyRight 2020": "legal", "token under License": "legal",
+        "write to a.b@example.org": "contact", "token a@bc": "contact", "5 pens @ 3": "plain", "only @": "plain",
+        "@ token": "technical", "api key": "plain", "12 @ 3": "other", "": "other",
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "text string")
+    got = {r.text: r.topic for r in rows.select("text", mixing.topic_of(F.col("text")).alias("topic")).collect()}
+    assert got == want
