@@ -71,3 +71,27 @@ def test_long_texts_are_read_whole():
     whole = l.grams(raw, 10)
     want = np.bincount(whole, minlength=1 << 10) @ weights / len(whole) * l.SCALE
     assert l.margins(raw, weights, np.zeros(3), 10) == pytest.approx(want, abs=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    letters = [chr(0x4E00 + 7 * i) + chr(0x4E01 + 7 * i) + chr(0x4E02 + 7 * i) for i in range(70)]
+    draw = np.random.default_rng(4)
+    rows = [
+        (100 * i + k, "".join(draw.choice(list(letters[i]), 40)), f"l{i:02}") for i in range(70) for k in range(4 if i else 8)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = l.Training(most_rows=140)
+    sample = l.training_rows(docs.union(docs), settings).groupBy("lang").count().collect()
+    assert {r["count"] for r in sample} == {2} and len(sample) == 70
+    model = l.train(docs, settings)
+    assert len(model.languages) == 70
+    got = l.predicted(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+
+
+def test_whole_texts_are_learned(spark):
+    header = "the same header in every text " * 50
+    rows = [(i, header + ["abcde " * 300, "vwxyz " * 300][i % 2], ["aa", "bb"][i % 2]) for i in range(40)]
+    model = l.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([("abcde abcde abcde abcde",), ("vwxyz vwxyz vwxyz vwxyz",)], "text string")
+    assert [r.lang_pred for r in l.predicted(asked, model).orderBy("text").collect()] == ["aa", "bb"]
