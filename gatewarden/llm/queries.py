@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, topk, url_filter, warc
+from gatewarden.llm import byte_bpe, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, token_counts, topk, url_filter, warc
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,8 @@ def archives(spark, read):
 @query("op3_mixing")
 def mixture(spark, read):
     return mixing.mixed(read("documents")).select("doc_id", "source", "lang", "topic", "probability", "kept")
+
+
+@query("op13_token_counts")
+def token_lengths(spark, read):
+    return token_counts.counts(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
