@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, token_counts, topk, url_filter, warc
+from gatewarden.llm import byte_bpe, conversations, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, token_counts, topk, url_filter, warc
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +239,102 @@ def mixture(spark, read):
     return mixing.mixed(read("documents")).select("doc_id", "source", "lang", "topic", "probability", "kept")
 
 
+def _best(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edited(cost: int | str, letter: str, state: int) -> str:
+    """Cost and letters of the edits from a row on that begin with ``letter`` and go on from ``state``."""
+    return f"{{'c': v[{state + 1}].c + {cost}, 'a': '{letter}' || v[{state + 1}].a}}"
+
+
+def _inserting(state: int) -> str:
+    """The best edits from a state, up to two rows being inserted first."""
+    own, one = f"b[{state + 1}]", conversations.NEXT[state]
+    two = conversations.NEXT[one]
+    return _best(own, f"{{'c': b[{one + 1}].c + 5, 'a': 'I' || b[{one + 1}].a}}", f"{{'c': b[{two + 1}].c + 10, 'a': 'II' || b[{two + 1}].a}}")
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion from each conversation's last row: the four best (cost, letters) per row."""
+    consumed = []
+    for state in conversations.STATES:
+        keeps = [
+            f"CASE WHEN fault < 2 AND i = '{i}' THEN {_edited('5 * fault', 'K', to[state])} END"
+            for i, to in conversations.KEPT.items() if state in to
+        ]
+        rerole = f"CASE WHEN fault < 2 THEN {_edited('1 + 5 * fault', 'R', conversations.NEXT[state])} END"
+        consumed.append(f"list_min(list_filter([{', '.join([_edited(2, 'D', state), *keeps, rerole])}], lambda x: x IS NOT NULL))")
+    closed = ", ".join(_inserting(s) for s in conversations.STATES)
+    return rf"""
+WITH RECURSIVE faults AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (
+  SELECT rid, 0 AS i, CAST(4294967295 AS BIGINT) AS c, key FROM faults
+  UNION ALL
+  SELECT rid, i + 1, list_reduce([xor(c, CAST(ascii(key[i + 1]) AS BIGINT)), 1, 1, 1, 1, 1, 1, 1, 1],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), key
+  FROM crc WHERE i < strlen(key)),
+hit AS (SELECT rid, xor(c, 4294967295) % 20 AS f FROM crc WHERE i = strlen(key)),
+damaged AS (
+  SELECT rid, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faults JOIN hit USING (rid)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) AS nth,
+    left(role, 1) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN t = '' THEN 3 WHEN nth > 1 THEN 2 WHEN right(t, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair
+  FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS pos, {_inserts_at_end()} AS v FROM facts
+  UNION ALL
+  SELECT conv_id, pos - 1, [{closed}]
+  FROM (SELECT j.conv_id, j.pos, [{', '.join(consumed)}] AS b FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos)),
+found AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM walk WHERE pos = 0),
+edits AS (
+  SELECT conv_id, unnest(range(1, 1 + length(audit))) AS k, audit FROM found),
+steps AS (
+  SELECT conv_id, k, audit[k] AS e,
+    count(*) FILTER (audit[k] <> 'I') OVER before AS pos, count(*) FILTER (audit[k] <> 'D') OVER before AS place,
+    count(*) FILTER (audit[k] <> 'D') OVER (PARTITION BY conv_id) AS kept
+  FROM edits WINDOW before AS (PARTITION BY conv_id ORDER BY k)),
+lines AS (
+  -- The last row kept is an assistant's, so the distance from it tells whose turn it is.
+  SELECT s.conv_id, s.place, CASE WHEN s.e = 'K' THEN j.role WHEN (s.kept - s.place) % 2 = 0 THEN 'assistant' ELSE 'user' END
+    || ':' || CASE WHEN s.e = 'I' THEN '' ELSE j.text END AS line
+  FROM steps s LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.pos = s.pos WHERE s.e <> 'D'),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS repaired FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN found g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def _inserts_at_end() -> str:
+    """The four states behind the last row: nothing to do, or one or two inserts."""
+    return "[{'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}]"
+
+
+@query("op11_conversation_repair", _repair_sql())
+def conversations_repaired(spark, read):
+    return conversations.repaired(conversations.damaged(read("conversations")))
+
+
 @query("op13_token_counts")
 def token_lengths(spark, read):
     return token_counts.counts(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
