@@ -8,7 +8,8 @@ summed per text: one text of any length neither holds up a task nor fills a work
 A boundary is safe when the tokens of both sides, counted apart, add up to those of the whole. For
 tokenizers that drop white space and split words at it (``DROPPED``) that is the place before an ASCII
 white space character: no special token holds one, normalisation never joins it with what comes
-before, and no word crosses it. Scripts without spaces may also be cut behind a full-width stop that a
+before, and no word crosses it. So a batch is cut at all of them, each of its distinct pieces is encoded
+once, and a worker remembers the counts of some hundred thousand pieces. Scripts without spaces may also be cut behind a full-width stop that a
 letter follows. For other tokenizers (``KEPT``: white space belongs to the next word's token) texts are
 never cut.
 
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 BATCH = 1 << 20
 #: Texts above this many bytes are cut into pieces of about as many.
 LONG = 1 << 20
+#: Pieces whose counts a worker remembers.
+REMEMBERED = 300_000
 #: A tokenizer for which cuts are safe, and one for which they are not.
 DROPPED, KEPT = "dropped", "kept"
 
@@ -42,7 +45,7 @@ _SPACE = regex.compile(r"[ \t\n\r]")
 _STOP = regex.compile(r"[。，、！？；：](?=\p{L})")
 
 #: Counters of this Python worker, by the tokenizer file's content.
-_COUNTERS: dict[tuple, Callable[[list[str]], list[int]]] = {}
+_COUNTERS: dict[tuple, Callable[[list[bytes]], list[int]]] = {}
 
 
 def counter(content: bytes, kind: str) -> Callable[[list[str]], list[int]]:
@@ -64,6 +67,24 @@ def counter(content: bytes, kind: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: list(map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
 
 
+class Pieces:
+    """Counts of texts as sums over their pieces between ASCII white space; each distinct piece is encoded once."""
+
+    def __init__(self, count: Callable[[list[str]], list[int]]):
+        self.count = count
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[bytes]) -> list[int]:
+        split = [text.split() for text in texts]
+        wanted = set().union(*split)
+        missing = list(wanted.difference(self.known))
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known = {piece: n for piece, n in self.known.items() if piece in wanted}
+        for part in _by_bytes(np.array([len(p) for p in missing], np.int64), BATCH):
+            self.known.update(zip(missing[part], self.count([p.decode() for p in missing[part]]), strict=True))
+        return [sum(map(self.known.__getitem__, pieces)) for pieces in split]
+
+
 def cut(text: str, most: int) -> Iterator[str]:
     """Pieces of about ``most`` characters that end at safe boundaries; together they are the text."""
     start, n = 0, len(text)
@@ -88,17 +109,18 @@ def _by_bytes(sizes: np.ndarray, most: int) -> Iterator[slice]:
         at = end
 
 
-def _counting(content, kind: str):
+def _counting(content, kind: str, boundaries: str):
     """Arrow function: the batch's columns but its text, and ``tokens``; ``content`` is the broadcast tokenizer file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(content.value), kind)
+        key = (hash(content.value), kind, boundaries)
         if key not in _COUNTERS:
-            _COUNTERS[key] = counter(content.value, kind)
+            library = counter(content.value, kind)
+            _COUNTERS[key] = Pieces(library) if boundaries == DROPPED else lambda texts: library([t.decode() for t in texts])
         count = _COUNTERS[key]
         for batch in batches:
-            texts = batch.column("text")
-            sizes = np.array([len(t.as_buffer()) for t in texts.cast(pa.binary())], np.int64)
+            texts = batch.column("text").cast(pa.binary())
+            sizes = np.array([len(t.as_buffer()) for t in texts], np.int64)
             tokens = np.zeros(len(sizes), np.int64)
             # In order of size, so that the texts of a batch are alike.
             order = np.argsort(sizes, kind="stable")
@@ -145,19 +167,20 @@ def counts(docs: DataFrame, tokenizer: str, limit: int = 2048, boundaries: str =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     short = rows if boundaries == KEPT else rows.where(F.col("n_bytes") <= long)
-    found = short.mapInArrow(_counting(content, kind), f"doc_id {id_type}, n_bytes long, tokens long")
+    counting = _counting(content, kind, boundaries)
+    found = short.mapInArrow(counting, f"doc_id {id_type}, n_bytes long, tokens long")
     if boundaries != KEPT:
-        found = found.unionByName(_long_counts(rows.where(F.col("n_bytes") > long), content, kind, long, id_type))
+        found = found.unionByName(_long_counts(rows.where(F.col("n_bytes") > long), counting, long, id_type))
     return found.select("doc_id", "n_bytes", F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"))
 
 
-def _long_counts(rows: DataFrame, content, kind: str, long: int, id_type: str) -> DataFrame:
+def _long_counts(rows: DataFrame, counting, long: int, id_type: str) -> DataFrame:
     """Counts of texts that are cut. A text is known by its id and two hashes, so that a repeated task gives
     the same keys; of repeated rows the sum is divided by how many they are, and returned as often."""
     keyed = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
     pieces = keyed.mapInArrow(_cutting(long), f"doc_id {id_type}, n_bytes long, a long, b long, piece int, text string")
     dealt = pieces.repartition(F.xxhash64("doc_id", "a", "piece"))
-    counted = dealt.mapInArrow(_counting(content, kind), f"doc_id {id_type}, n_bytes long, a long, b long, piece int, tokens long")
+    counted = dealt.mapInArrow(counting, f"doc_id {id_type}, n_bytes long, a long, b long, piece int, tokens long")
     per_text = counted.groupBy("doc_id", "n_bytes", "a", "b").agg(
         F.sum("tokens").alias("tokens"), F.count_if(F.col("piece") == 0).alias("copies")
     )

@@ -54,6 +54,17 @@ def test_cuts_are_safe_and_lose_nothing():
             assert sum(len(own.encode(p, add_special_tokens=False).ids) for p in pieces) == whole, (text, pieces)
 
 
+def test_pieces_are_remembered_within_bounds(monkeypatch):
+    own = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 5)
+    with open(PATH, "rb") as file:
+        count = token_counts.Pieces(token_counts.counter(file.read(), "json"))
+    texts = ["a b\x0bc\x0cd\u00a0e f\u2028g", "a a h i j k", "", "  l m\x1cn \u0301o a\u0301 é", "b k zz"]
+    for text in texts * 2:
+        assert count([text.encode()]) == [len(own.encode(text, add_special_tokens=False).ids)], text
+    assert len(count.known) <= 5 + 7
+
+
 def test_other_libraries_and_empty_table(spark, odd_docs, no_docs):
     import sentencepiece
 
