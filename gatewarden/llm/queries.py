@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewarden.llm import byte_bpe, conversations, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, token_counts, topk, url_filter, warc
+from gatewarden.llm import byte_bpe, conversations, language_id, lm_scoring, mixing, quality_rules, simhash, substrings, token_counts, topk, url_filter, warc, whitening
 from gatewarden.llm.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,6 +335,11 @@ def conversations_repaired(spark, read):
     return conversations.repaired(conversations.damaged(read("conversations")))
 
 
+@query("op12_whitening")
+def white(spark, read):
+    return whitening.whitening(read("embeddings"))
+
+
 @query("op13_token_counts")
 def token_lengths(spark, read):
     return token_counts.counts(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
