@@ -35,7 +35,8 @@ class FeatureSettings:
     as_of: str
     event_as_of: str | None = None
     drift_as_of: str | None = None
-    betweenness_pivots: int | None = None
+    #: Largest deviation of betweenness to accept for a sample of sources; None is exact.
+    betweenness_error: float | None = None
     with_betweenness: bool = True
     review_events: Column | None = None
 
@@ -120,11 +121,11 @@ def subject_features(
         drift.permission_drift(estate, drift_moment),
         relationship_features(estate, members, pairs, scores),
     ]
-    links = materialize(graph.edges(estate), "edges")
-    parts.append(graph.degree_centrality(estate, links))
-    parts.append(graph.distance_to_critical(estate, links))
+    numbered = graph.numbered(estate)
+    parts.append(graph.degree_centrality(estate, numbered))
+    parts.append(graph.distance_to_critical(estate, numbered))
     if settings.with_betweenness:
-        parts.append(graph.betweenness_centrality(estate, links, settings.betweenness_pivots))
+        parts.append(graph.betweenness_centrality(estate, numbered, error=settings.betweenness_error))
     if settings.review_events is not None:
         parts.append(drift.days_since_review(estate, event_moment, settings.review_events))
     joined = profile(estate, settings.as_of)

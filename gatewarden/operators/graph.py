@@ -1,13 +1,24 @@
-"""The identity graph as node and edge tables, and measures over it."""
+"""The identity graph as node and edge tables, and measures over it.
+
+Searches run over a vertex dictionary (``numbered``): names are mapped once to dense 64-bit integers in
+the order of the names, so that every round moves and groups longs, and the smallest number is the
+smallest name.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gatewarden.plans.durable import materialize, materialize_with
+from gatewarden.plans.durable import materialize, materialize_with, release
 from gatewarden.plans.joins import skew_join
+from gatewarden.plans.ranking import hashed_rank, ordered_rank
 from gatewarden.schemas import Estate
 
+NODE_TYPES = ("unknown", "subject", "permission", "resource")
+
 MAX_MANAGER_HOPS = 20
 
 
@@ -100,29 +111,63 @@ def edges(estate: Estate) -> DataFrame:
 
 
 def declared_nodes(estate: Estate) -> DataFrame:
-    """(node, node_type) of the entities that have a row."""
-    return (
-        estate.subject.select(node_id("subject", "id").alias("node"), F.lit("subject").alias("node_type"))
-        .unionByName(
-            estate.permission.select(
-                node_id("permission", "id").alias("node"), F.lit("permission").alias("node_type")
-            )
-        )
-        .unionByName(
-            estate.resource.select(node_id("resource", "id").alias("node"), F.lit("resource").alias("node_type"))
-        )
-        .distinct()
-    )
+    """(node, code) of the entities that have a row; the code is the place in ``NODE_TYPES``."""
+    parts = [
+        getattr(estate, kind).select(node_id(kind, "id").alias("node"), F.lit(code).alias("code"))
+        for code, kind in enumerate(NODE_TYPES)
+        if code
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def nodes(estate: Estate, edge_table: DataFrame | None = None) -> DataFrame:
     """Every node; endpoints without an entity row have type ``unknown``."""
     links = edges(estate) if edge_table is None else edge_table
-    endpoints = links.select(F.col("src").alias("node")).union(links.select(F.col("dst").alias("node")))
-    tagged = endpoints.select("node", F.lit(None).cast("string").alias("node_type")).unionByName(
-        declared_nodes(estate)
+    endpoints = links.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(0).alias("code"))
+    tagged = endpoints.unionByName(declared_nodes(estate)).groupBy("node").agg(F.max("code").alias("code"))
+    names = F.array(*[F.lit(t) for t in NODE_TYPES])
+    return tagged.select("node", F.element_at(names, F.col("code") + 1).alias("node_type"))
+
+
+@dataclass(frozen=True)
+class Graph:
+    """The graph over numbers, stored: the dictionary, the links, and how many vertices there are."""
+
+    #: (vertex, node, node_type)
+    vertices: DataFrame
+    #: (src, dst, edge_type, from_subject, to_subject)
+    links: DataFrame
+    n: int
+
+    def subjects(self) -> DataFrame:
+        """(subject_id, vertex) of the subjects that have a row."""
+        prefix = len("subject:")
+        return self.vertices.where(F.col("node_type") == "subject").select(
+            F.substr("node", F.lit(prefix + 1)).alias("subject_id"), "vertex"
+        )
+
+    def resources(self) -> DataFrame:
+        """(resource_id, vertex) of the resources that have a row."""
+        prefix = len("resource:")
+        return self.vertices.where(F.col("node_type") == "resource").select(
+            F.substr("node", F.lit(prefix + 1)).alias("resource_id"), "vertex"
+        )
+
+
+def numbered(estate: Estate, edge_table: DataFrame | None = None) -> Graph:
+    """The estate's graph over a vertex dictionary. Names are joined twice per edge, here and never again."""
+    named = materialize(edges(estate), "edges") if edge_table is None else edge_table
+    ranked = ordered_rank(nodes(estate, named), "node").withColumnRenamed("place", "vertex")
+    vertices, seen = materialize_with(ranked.select("vertex", "node", "node_type"), "vertices", {"n": F.count(F.lit(1))})
+    kinds = [F.startswith(c, F.lit("subject:")).alias(k) for c, k in (("src", "from_subject"), ("dst", "to_subject"))]
+    flagged = named.select("src", "dst", "edge_type", *kinds)
+    for end in ("src", "dst"):
+        key = vertices.select(F.col("node").alias(end), F.col("vertex").alias(f"{end}_vertex"))
+        flagged = skew_join(flagged, key, end)
+    links = flagged.select(
+        F.col("src_vertex").alias("src"), F.col("dst_vertex").alias("dst"), "edge_type", "from_subject", "to_subject"
     )
-    return tagged.groupBy("node").agg(F.coalesce(F.max("node_type"), F.lit("unknown")).alias("node_type"))
+    return Graph(vertices, materialize(links, "links"), int(seen["n"] or 0))
 
 
 def graph_statistics(estate: Estate, snapshots: DataFrame | None = None) -> DataFrame:
@@ -159,69 +204,48 @@ def graph_statistics(estate: Estate, snapshots: DataFrame | None = None) -> Data
     return out.select("metric", F.col("value").cast("bigint").alias("value"))
 
 
-def degree_centrality(estate: Estate, edge_table: DataFrame | None = None) -> DataFrame:
+def degree_centrality(estate: Estate, graph: Graph | None = None) -> DataFrame:
     """(subject_id, degree_centrality): (in + out) / (n - 1) over all nodes.
 
     A self-loop counts twice, n includes endpoints without an entity row, and a
-    graph of one node scores 1. The node count travels as a one-row aggregate on
-    a constant key.
+    graph of one node scores 1.
     """
-    links = edges(estate) if edge_table is None else edge_table
+    graph = numbered(estate) if graph is None else graph
     degree = (
-        links.select(F.explode(F.array("src", "dst")).alias("node"))
-        .groupBy("node")
+        graph.links.select(F.explode(F.array("src", "dst")).alias("vertex"))
+        .groupBy("vertex")
         .agg(F.count(F.lit(1)).alias("degree"))
     )
-    size = F.broadcast(nodes(estate, links).agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)))
-    scored = (
-        estate.subject.select(F.col("id").alias("subject_id"), node_id("subject", "id").alias("node"))
-        .join(degree, "node", "left")
-        .withColumn("one", F.lit(1))
-        .join(size, "one")
-    )
-    return scored.select(
-        "subject_id",
-        F.when(F.col("n") <= 1, F.lit(1.0))
-        .otherwise(F.coalesce("degree", F.lit(0)).cast("double") / (F.col("n") - 1))
-        .alias("degree_centrality"),
-    )
+    score = F.coalesce("degree", F.lit(0)).cast("double") / F.lit(max(graph.n - 1, 1))
+    found = graph.subjects().join(degree, "vertex", "left")
+    return found.select("subject_id", (F.lit(1.0) if graph.n <= 1 else score).alias("degree_centrality"))
 
 
-def distance_to_critical(estate: Estate, edge_table: DataFrame | None = None) -> DataFrame:
+def distance_to_critical(estate: Estate, graph: Graph | None = None) -> DataFrame:
     """(subject_id, distance_to_nearest_critical_resource); -1 where none is reachable.
 
     One breadth-first search backwards from all critical resources at once. Each
-    level is stored; the search ends with the first empty level. ``edge_table`` should be stored.
+    level is stored; the search ends with the first empty level.
     """
-    links = (materialize(edges(estate), "edges") if edge_table is None else edge_table).select("src", "dst")
-    frontier, seen = materialize_with(
-        estate.resource.where(F.col("sensitivity") == "critical")
-        .select(node_id("resource", "id").alias("node"))
-        .distinct()
-        .withColumn("distance", F.lit(0)),
-        "level",
-        {"n": F.count(F.lit(1))},
-    )
+    graph = numbered(estate) if graph is None else graph
+    critical = estate.resource.where(F.col("sensitivity") == "critical").select(F.col("id").alias("resource_id"))
+    start = graph.resources().join(critical, "resource_id", "left_semi").select("vertex", F.lit(0).alias("distance"))
+    frontier, seen = materialize_with(start, "level", {"n": F.count(F.lit(1))})
     reached = frontier
     distance = 0
     while seen["n"]:
         distance += 1
-        step = skew_join(links, frontier.select(F.col("node").alias("dst")), "dst", "left_semi")
+        step = skew_join(graph.links.select("src", "dst"), frontier.select(F.col("vertex").alias("dst")), "dst", "left_semi")
         fresh = (
-            step.select(F.col("src").alias("node"))
+            step.select(F.col("src").alias("vertex"))
             .distinct()
-            .join(reached.select("node"), "node", "left_anti")
+            .join(reached.select("vertex"), "vertex", "left_anti")
             .withColumn("distance", F.lit(distance))
         )
         frontier, seen = materialize_with(fresh, "level", {"n": F.count(F.lit(1))})
         reached = reached.unionByName(frontier)
-    return (
-        estate.subject.select(F.col("id").alias("subject_id"), node_id("subject", "id").alias("node"))
-        .join(reached, "node", "left")
-        .select(
-            "subject_id",
-            F.coalesce("distance", F.lit(-1)).alias("distance_to_nearest_critical_resource"),
-        )
+    return graph.subjects().join(reached, "vertex", "left").select(
+        "subject_id", F.coalesce("distance", F.lit(-1)).alias("distance_to_nearest_critical_resource")
     )
 
 
@@ -278,16 +302,70 @@ def held_edges(estate: Estate) -> DataFrame:
     return estate.assignment.select("subject_id", "permission_id").distinct()
 
 
+def resource_words(estate: Estate) -> tuple[DataFrame, DataFrame]:
+    """Resources that permissions lead to, as bit sets: (permission_id, word, bits) and (word, bit, resource columns).
+
+    Resources are numbered in the order of a hash of the smallest permission that leads to them, so those that
+    a permission grants together share words of 64 bits. A set of resources is then a few longs, which are
+    or-ed by hash aggregates (byte bitmaps would have to be sorted, 4 kB a row).
+    """
+    links = materialize(permission_resources(estate), "permission-resources")
+    lead = links.groupBy("resource_id").agg(F.min(F.xxhash64("permission_id")).alias("lead"))
+    info = estate.resource.select(F.col("id").alias("resource_id"), "name", "type", "sensitivity", "source")
+    known = skew_join(info, lead, "resource_id")
+    # A sortable text: the hash without its sign, then the id.
+    order = F.concat(F.lpad(F.hex("lead"), 16, "0"), F.lit(" "), F.col("resource_id"))
+    placed = ordered_rank(known.withColumn("__order", order), "__order")
+    bit = F.pmod("place", F.lit(64)).cast("int")
+    dictionary = materialize(
+        placed.select(
+            F.floor(F.col("place") / 64).alias("word"), bit.alias("bit"), "resource_id", "name", "type", "sensitivity", "source"
+        ),
+        "resource-words",
+    )
+    numbers = dictionary.select("resource_id", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    sets = skew_join(links, numbers, "resource_id").groupBy("permission_id", "word").agg(F.bit_or("bits").alias("bits"))
+    return materialize(sets, "permission-words"), dictionary
+
+
+def reached_words(estate: Estate, sets: DataFrame) -> DataFrame:
+    """(subject_id, word, bits): the resources of every subject through all its permissions, inactive assignments included."""
+    return (
+        skew_join(held_edges(estate), sets, "permission_id")
+        .groupBy("subject_id", "word")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+
+
 def reachable_resources(estate: Estate) -> DataFrame:
-    """Distinct (subject_id, resource_id) through a permission; inactive assignments count."""
-    existing = skew_join(
-        permission_resources(estate),
-        estate.resource.select(F.col("id").alias("resource_id"), "sensitivity"),
-        "resource_id",
+    """One row per subject and distinct resource it reaches through a permission, with what the resource is.
+
+    (subject_id, resource_id, name, type, sensitivity, source); inactive assignments count. Bits become rows
+    only after the sets have been or-ed.
+    """
+    sets, dictionary = resource_words(estate)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    single = reached_words(estate, sets).select("subject_id", "word", F.explode(bits).alias("bit"))
+    return skew_join(single, dictionary, ["word", "bit"]).drop("word", "bit")
+
+
+def critical_resources(estate: Estate) -> DataFrame:
+    """One row per subject, permission and critical resource it leads to: a resource appears once per permission.
+
+    (subject_id, permission_id, resource_id, name, type, source)
+    """
+    critical = estate.resource.where(F.col("sensitivity") == "critical").select(
+        F.col("id").alias("resource_id"), "name", "type", "source"
+    )
+    led = skew_join(permission_resources(estate), critical, "resource_id")
+    return skew_join(held_edges(estate), led, "permission_id")
+
+
+def escalation_resources(estate: Estate) -> DataFrame:
+    """One row per escalation path of a subject: (subject_id, path_id, end_result, confidence, steps)."""
+    return estate.escalation_path.select(
+        "subject_id", F.col("id").alias("path_id"), "end_result", "confidence", F.size("steps").alias("steps")
     )
-    return skew_join(held_edges(estate), existing, "permission_id").select(
-        "subject_id", "resource_id", "sensitivity"
-    ).distinct()
 
 
 def blast_radius(estate: Estate) -> DataFrame:
@@ -307,8 +385,8 @@ def blast_radius(estate: Estate) -> DataFrame:
         .groupBy("subject_id")
         .agg(F.sum("critical").alias("critical_resources"))
     )
-    direct = reachable_resources(estate).groupBy("subject_id").agg(
-        F.count(F.lit(1)).alias("direct_resources")
+    direct = reached_words(estate, resource_words(estate)[0]).groupBy("subject_id").agg(
+        F.sum(F.bit_count("bits")).cast("bigint").alias("direct_resources")
     )
     paths = estate.escalation_path.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("escalation_resources")
@@ -329,92 +407,124 @@ def blast_radius(estate: Estate) -> DataFrame:
     )
 
 
-def _useful_sources(links: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Sources from which a path can lead through a subject.
+def pivots_for(error: float, n: int, failure: float = 0.01) -> int:
+    """Sampled sources that keep every vertex's normalised betweenness within ``error`` with probability 1 - ``failure``.
+
+    A source contributes between 0 and 1 (its dependency over n - 2), so by Hoeffding's inequality and a union
+    over n vertices ln(2 n / failure) / (2 error^2) sources suffice; n / (n - 1), the step from sources to pairs,
+    is covered by scaling the error.
+    """
+    scaled = error * (n - 1) / n
+    return min(n, math.ceil(math.log(2 * n / failure) / (2 * scaled * scaled)))
+
+
+def _path_sources(graph: Graph) -> tuple[DataFrame, int]:
+    """(source, place) of the vertices from which a path can lead through a subject, and how many they are.
 
     Such a path enters the subject by an edge. Where all edges into subjects leave subjects, its
-    source is a subject with an edge to a subject too; otherwise every node is taken.
+    source is a subject with an edge to a subject too; otherwise every vertex is taken.
     """
-    is_subject = lambda c: F.startswith(c, F.lit("subject:"))
-    entering = links.where(is_subject(F.col("dst")))
+    entering = graph.links.where(F.col("to_subject") & (F.col("src") != F.col("dst")))
     starts, seen = materialize_with(
-        entering.select(F.col("src").alias("source")).distinct(), "path-sources",
-        {"others": F.count_if(~is_subject(F.col("source")))},
+        entering.groupBy(F.col("src").alias("source")).agg(F.bool_and("from_subject").alias("inside")), "path-sources",
+        {"others": F.count_if(~F.col("inside")), "n": F.count(F.lit(1))},
     )
-    return starts if not seen.get("others") else vertices.select(F.col("node").alias("source"))
+    if seen.get("others"):
+        return graph.vertices.select(F.col("vertex").alias("source"), F.col("vertex").alias("place")), graph.n
+    return ordered_rank(starts.select("source"), "source"), int(seen["n"] or 0)
 
 
-def betweenness_centrality(
-    estate: Estate, edge_table: DataFrame | None = None, pivots: int | None = None, seed: int = 7
-) -> DataFrame:
-    """(subject_id, betweenness_centrality), directed, normalised by (n-1)(n-2).
+def _dependencies(links: DataFrame, sources: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(vertex, delta) added up over the given sources, and the stored tables it reads.
 
-    Shortest-path counts are pushed forward level by level for all sources at once
-    (rows: source, node, sigma), then dependencies are pulled back over the same
-    levels. Exact by default, from the sources whose paths can pass through a subject
-    at all (managers and members of groups); its work is the number of their (source,
-    reachable node) pairs, so for a very large graph ``pivots`` takes that many of all
-    nodes by a seeded hash and scales the result by n / pivots.
+    Shortest-path counts are pushed forward level by level (rows: source, vertex, sigma), then
+    dependencies are pulled back over the same levels.
     """
-    links = materialize(edges(estate), "edges") if edge_table is None else edge_table
-    links = links.where(F.col("src") != F.col("dst")).select("src", "dst")
-    vertex_table, size = materialize_with(
-        nodes(estate, links.withColumn("edge_type", F.lit(""))).select("node"),
-        "nodes",
-        {"n": F.count(F.lit(1))},
-    )
-    n = int(size["n"] or 0)
-    subjects = estate.subject.select(F.col("id").alias("subject_id"), node_id("subject", "id").alias("node"))
-    if n <= 2:
-        return subjects.select("subject_id", F.lit(0.0).alias("betweenness_centrality"))
-    sources = _useful_sources(links, vertex_table)
-    scale = 1.0
-    if pivots is not None and pivots < n:
-        sources = vertex_table.select(F.col("node").alias("source"))
-        sources = sources.orderBy(F.xxhash64("source", F.lit(seed)), "source").limit(pivots)
-        scale = n / pivots
-    start = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma"))
+    start = sources.select("source", F.col("source").alias("vertex"), F.lit(1.0).alias("sigma"))
     frontier, seen = materialize_with(start, "paths", {"n": F.count(F.lit(1))})
-    levels = [frontier]
-    visited = frontier.select("source", "node")
+    levels, visited, held = [frontier], frontier.select("source", "vertex"), [frontier]
     while seen["n"]:
-        onward = skew_join(
-            links, frontier.select(F.col("node").alias("src"), "source", "sigma"), "src"
-        )
+        onward = skew_join(links, frontier.select(F.col("vertex").alias("src"), "source", "sigma"), "src")
         fresh = (
-            onward.groupBy("source", F.col("dst").alias("node"))
+            onward.groupBy("source", F.col("dst").alias("vertex"))
             .agg(F.sum("sigma").alias("sigma"))
-            .join(visited, ["source", "node"], "left_anti")
+            .join(visited, ["source", "vertex"], "left_anti")
         )
         frontier, seen = materialize_with(fresh, "paths", {"n": F.count(F.lit(1))})
+        held.append(frontier)
         if seen["n"]:
             levels.append(frontier)
-            visited = visited.unionByName(frontier.select("source", "node"))
+            visited = visited.unionByName(frontier.select("source", "vertex"))
     below = levels[-1].withColumn("delta", F.lit(0.0))
     totals = None
     for level in reversed(levels[1:-1]):
         shares = below.select(
-            "source", F.col("node").alias("dst"), ((1.0 + F.col("delta")) / F.col("sigma")).alias("share")
+            "source", F.col("vertex").alias("dst"), ((1.0 + F.col("delta")) / F.col("sigma")).alias("share")
         )
-        parents = skew_join(links, level.select("source", F.col("node").alias("src"), "sigma"), "src")
+        parents = skew_join(links, level.select("source", F.col("vertex").alias("src"), "sigma"), "src")
         gained = (
             parents.join(shares, ["source", "dst"])
-            .groupBy("source", F.col("src").alias("node"))
+            .groupBy("source", F.col("src").alias("vertex"))
             .agg(F.sum(F.col("sigma") * F.col("share")).alias("gained"))
         )
         below = materialize(
-            level.join(gained, ["source", "node"], "left").select(
-                "source", "node", "sigma", F.coalesce("gained", F.lit(0.0)).alias("delta")
+            level.join(gained, ["source", "vertex"], "left").select(
+                "source", "vertex", "sigma", F.coalesce("gained", F.lit(0.0)).alias("delta")
             ),
             "dependencies",
         )
-        part = below.groupBy("node").agg(F.sum("delta").alias("delta"))
+        held.append(below)
+        part = below.groupBy("vertex").agg(F.sum("delta").alias("delta"))
         totals = part if totals is None else totals.unionByName(part)
-    if totals is None:
-        return subjects.select("subject_id", F.lit(0.0).alias("betweenness_centrality"))
-    summed = totals.groupBy("node").agg(F.sum("delta").alias("delta"))
+    return totals, held
+
+
+def betweenness_centrality(
+    estate: Estate,
+    graph: Graph | None = None,
+    *,
+    error: float | None = None,
+    failure: float = 0.01,
+    seed: int = 7,
+    pairs_per_batch: int = 1 << 30,
+) -> DataFrame:
+    """(subject_id, betweenness_centrality), directed, normalised by (n-1)(n-2).
+
+    Exact by default, from the sources whose paths can pass through a subject at all (managers and
+    members of groups). Sources go in batches of ``pairs_per_batch`` / n, so the stored (source, vertex)
+    rows never pass that number; each batch adds its sums to a stored total and is deleted. With ``error``
+    a seeded sample of ``pivots_for(error, n, failure)`` vertices stands for all of them.
+    """
+    graph = numbered(estate) if graph is None else graph
+    n = graph.n
+    nothing = graph.subjects().select("subject_id", F.lit(0.0).alias("betweenness_centrality"))
+    if n <= 2:
+        return nothing
+    sources, many = _path_sources(graph)
+    scale = 1.0
+    if error is not None and (pivots := pivots_for(error, n, failure)) < n:
+        placed = hashed_rank(graph.vertices.select(F.col("vertex").alias("source")), "source", seed)
+        sources = placed.select("source", (F.col("place") - 1).alias("place")).where(F.col("place") < pivots)
+        many, scale = pivots, n / pivots
+    sources = materialize(sources, "path-sources")
+    links = graph.links.where(F.col("src") != F.col("dst")).select("src", "dst")
+    per_batch = max(1, pairs_per_batch // n)
+    total = None
+    for first in range(0, many, per_batch):
+        batch = sources.where((F.col("place") >= first) & (F.col("place") < first + per_batch)).select("source")
+        part, held = _dependencies(links, batch)
+        if part is not None:
+            both = part if total is None else part.unionByName(total)
+            following = materialize(both.groupBy("vertex").agg(F.sum("delta").alias("delta")), "betweenness")
+            if total is not None:
+                release(total)
+            total = following
+        for table in held:
+            release(table)
+    if total is None:
+        return nothing
     factor = scale / ((n - 1) * (n - 2))
-    return subjects.join(summed, "node", "left").select(
+    return graph.subjects().join(total, "vertex", "left").select(
         "subject_id",
         F.coalesce(F.col("delta") * F.lit(factor), F.lit(0.0)).alias("betweenness_centrality"),
     )

@@ -145,5 +145,58 @@ def test_betweenness_equals_brute_force(estate_of):
     got = as_dict(graph.betweenness_centrality(e), "subject_id", "betweenness_centrality")
     for i in range(14):
         assert abs(got[f"s{i}"] - score[f"subject:s{i}"] / ((n - 1) * (n - 2))) < 1e-12
-    full = as_dict(graph.betweenness_centrality(e, pivots=n - 1), "subject_id", "betweenness_centrality")
-    assert set(full) == set(got)
+    for pairs in (1, 3 * n, 5 * n):
+        again = as_dict(graph.betweenness_centrality(e, pairs_per_batch=pairs), "subject_id", "betweenness_centrality")
+        assert set(again) == set(got) and all(abs(again[s] - got[s]) < 1e-12 for s in got)
+
+
+def test_sampled_betweenness_keeps_its_error(estate_of):
+    e = random_estate(estate_of, 6)
+    numbered = graph.numbered(e)
+    exact = as_dict(graph.betweenness_centrality(e, numbered), "subject_id", "betweenness_centrality")
+    assert graph.pivots_for(0.05, numbered.n) == numbered.n and graph.pivots_for(0.5, 10**9) < 60
+    for seed in (1, 2):
+        near = as_dict(graph.betweenness_centrality(e, numbered, error=0.45, seed=seed), "subject_id", "betweenness_centrality")
+        assert graph.pivots_for(0.45, numbered.n) < numbered.n
+        assert all(abs(near[s] - exact[s]) <= 0.45 for s in exact)
+
+
+def test_numbers_follow_names(spark, estate_of):
+    e = sample(estate_of)
+    numbered = graph.numbered(e)
+    found = [r["node"] for r in numbered.vertices.orderBy("vertex").collect()]
+    assert found == sorted(found) and [r["vertex"] for r in numbered.vertices.orderBy("vertex").collect()] == list(range(numbered.n))
+    names = as_dict(numbered.vertices, "vertex", "node")
+    links = {(names[s], names[d], t) for s, d, t in rows(numbered.links, "src", "dst", "edge_type")}
+    assert links == set(rows(graph.edges(e), "src", "dst", "edge_type"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_group_by_hash_and_make_no_pairs(estate_of):
+    e = sample(estate_of)
+    for table in (graph.edges(e), graph.nodes(e), graph.reached_words(e, graph.resource_words(e)[0])):
+        assert "HashAggregate" in plan_of(table) and "SortAggregate" not in plan_of(table)
+    # Before the reach is counted a row is a word of up to 64 resources.
+    words = graph.reached_words(e, graph.resource_words(e)[0])
+    assert words.columns == ["subject_id", "word", "bits"]
+
+
+def test_reach_lists(spark, estate_of):
+    many = [resource(f"r{i:03}", "critical" if i % 50 == 0 else "low", name=f"n{i}") for i in range(200)]
+    perms = [permission("all", resources=[f"n{i}" for i in range(200)]), permission("few", resources=["n0", "n63", "n64", "n199"])]
+    e = estate_of(
+        subject=[subject("a"), subject("b"), subject("c")], permission=perms, resource=many,
+        assignment=[grant("a", "all"), grant("a", "few"), grant("b", "few", is_active=False)],
+        escalation_path=[{"id": "e1", "subject_id": "b", "steps": [], "end_result": "admin", "confidence": 0.5, "source": "x"}],
+    )
+    reach = rows(graph.reachable_resources(e), "subject_id", "resource_id")
+    assert reach == sorted([("a", f"r{i:03}") for i in range(200)] + [("b", f"r{i:03}") for i in (0, 63, 64, 199)])
+    assert rows(graph.critical_resources(e), "subject_id", "resource_id", "permission_id") == sorted(
+        [("a", f"r{i:03}", "all") for i in (0, 50, 100, 150)] + [("a", "r000", "few"), ("b", "r000", "few")]
+    )
+    assert rows(graph.escalation_resources(e), "subject_id", "path_id", "end_result", "steps") == [("b", "e1", "admin", 0)]
+    counts = {r["subject_id"]: tuple(r)[1:] for r in graph.blast_radius(e).collect()}
+    assert counts == {"a": (200, 5, 0, 200), "b": (4, 1, 1, 5), "c": (0, 0, 0, 0)}

@@ -70,9 +70,37 @@ def _(b):
     )
 
 
-@case("betweenness_centrality")
+BETWEENNESS = """
+SELECT s.id AS subject_id, round(coalesce(x.total, 0) / ((SELECT count(*) FROM node) - 1) / ((SELECT count(*) FROM node) - 2), 9) + 0.0
+  AS betweenness_centrality
+FROM subject s LEFT JOIN (
+  SELECT v.start AS node, sum(u.n * v.n / w.n) AS total
+  FROM counted v JOIN entering m ON m.dst = v.start JOIN counted u ON u.node = v.start AND u.start <> v.start
+  JOIN counted w ON w.start = u.start AND w.node = v.node AND w.hops = u.hops + v.hops
+  WHERE v.node <> v.start AND v.node <> u.start GROUP BY 1) x ON x.node = 'subject:' || s.id"""
+
+
+@case("betweenness_centrality", BETWEENNESS, {
+    "hop": "SELECT src, dst FROM edge WHERE src <> dst",
+    "entering": "SELECT DISTINCT dst FROM hop WHERE starts_with(dst, 'subject:')",
+    "start": "SELECT dst AS start FROM entering UNION SELECT h.src FROM hop h JOIN entering m ON m.dst = h.dst",
+    # Walks of up to 12 hops; the shortest ones are kept, and counted level by level.
+    "walked": "SELECT start, start AS node, 0 AS hops FROM start"
+              " UNION SELECT w.start, h.dst, w.hops + 1 FROM walked w JOIN hop h ON h.src = w.node WHERE w.hops < 12",
+    "shortest": "SELECT start, node, min(hops) AS hops FROM walked GROUP BY 1, 2",
+    "counted": "SELECT start, start AS node, 0 AS hops, CAST(1 AS DOUBLE) AS n FROM start UNION ALL"
+               " SELECT c.start, h.dst, c.hops + 1, sum(c.n) FROM counted c JOIN hop h ON h.src = c.node"
+               " JOIN shortest s ON s.start = c.start AND s.node = h.dst AND s.hops = c.hops + 1 GROUP BY 1, 2, 3",
+})
 def _(b):
-    return graph.betweenness_centrality(b.estate)
+    found = graph.betweenness_centrality(b.estate)
+    return found.select("subject_id", (F.round("betweenness_centrality", 9) + 0.0).alias("betweenness_centrality"))
+
+
+@case("vertex_dictionary", """
+SELECT node, node_type, row_number() OVER (ORDER BY node) - 1 AS vertex FROM node""")
+def _(b):
+    return graph.numbered(b.estate).vertices
 
 
 @case("distance_to_critical", """
@@ -99,11 +127,25 @@ def _(b):
 
 
 @case("reachable_resources", """
-SELECT r.subject_id, r.resource_id, x.sensitivity FROM reach r JOIN resource x ON x.id = r.resource_id""")
+SELECT r.subject_id, r.resource_id, x.name, x.type, x.sensitivity, x.source FROM reach r JOIN resource x ON x.id = r.resource_id""")
 def _(b):
     return graph.reachable_resources(b.estate)
 
 
+@case("critical_resources", """
+SELECT a.subject_id, a.permission_id, x.id AS resource_id, x.name, x.type, x.source
+FROM (SELECT DISTINCT subject_id, permission_id FROM assignment) a JOIN "grant" g ON g.permission_id = a.permission_id
+JOIN resource x ON x.id = g.resource_id AND x.sensitivity = 'critical'""")
+def _(b):
+    return graph.critical_resources(b.estate)
+
+
+@case("escalation_resources", """
+SELECT subject_id, subject_id || '#' || pattern_no AS path_id, confidence, steps FROM path""")
+def _(b):
+    return graph.escalation_resources(b.estate).drop("end_result")
+
+
 @case("identity_components", "SELECT subject_id, component_id FROM component")
 def _(b):
     return identity.identity_components(b.estate.subject)
