@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewarden.plans.durable import materialize, materialize_with, release
 from gatewarden.plans.joins import skew_join
+from gatewarden.plans.ranking import ordered_rank
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 MAX_ROUNDS = 60
@@ -15,6 +16,12 @@ def stripped_lower(text: Column) -> Column:
     return F.btrim(F.lower(text), F.lit(WHITESPACE))
 
 
+def subject_numbers(subject: DataFrame) -> DataFrame:
+    """(subject_id, vertex) of every non-group subject: dense numbers in the order of the ids, stored."""
+    people = subject.where(F.col("type") != "group").select(F.col("id").alias("subject_id")).distinct()
+    return materialize(ordered_rank(people, "subject_id").withColumnRenamed("place", "vertex"), "subject-numbers")
+
+
 def identity_keys(subject: DataFrame) -> DataFrame:
     """(subject_id, source, key): normalised mail address and name of each non-group subject."""
     mail = F.when(F.col("email") != "", F.concat(F.lit("mail:"), stripped_lower(F.col("email"))))
@@ -27,29 +34,29 @@ def identity_keys(subject: DataFrame) -> DataFrame:
     )
 
 
-def identity_links(subject: DataFrame) -> DataFrame:
-    """Links (u, v) with v < u that tie subjects sharing a key.
+def identity_links(subject: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Links (u, v) with v < u, over ``subject_numbers``, that tie subjects sharing a key.
 
     A shared mail address always links. A shared name links only when its bearers
     come from more than one source. Each key gives one link per bearer (to the
     bearer with the smallest id), so a placeholder address used by a third of all
     subjects costs a third of the subjects in links, not their square.
     """
-    keys = materialize(identity_keys(subject), "identity-keys")
-    shared = (
-        keys.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("bearers"),
-            F.min("source").alias("first_source"),
-            F.max("source").alias("last_source"),
-            F.min("subject_id").alias("v"),
-        )
-        .where(F.col("bearers") > 1)
-        .where(F.startswith("key", F.lit("mail:")) | (F.col("first_source") != F.col("last_source")))
+    named = identity_keys(subject).join(numbers, "subject_id")
+    keys = materialize(named.select("vertex", F.xxhash64("source").alias("origin"), "key"), "identity-keys")
+    shared = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("bearers"),
+        F.min("origin").alias("first_origin"),
+        F.max("origin").alias("last_origin"),
+        F.min("vertex").alias("v"),
+    )
+    linking = (
+        shared.where(F.col("bearers") > 1)
+        .where(F.startswith("key", F.lit("mail:")) | (F.col("first_origin") != F.col("last_origin")))
         .select("key", "v")
     )
     return (
-        skew_join(keys.select("key", F.col("subject_id").alias("u")), shared, "key")
+        skew_join(keys.select("key", F.col("vertex").alias("u")), linking, "key")
         .where(F.col("u") != F.col("v"))
         .select("u", "v")
         .distinct()
@@ -117,11 +124,11 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def identity_components(subject: DataFrame) -> DataFrame:
     """(subject_id, component_id) of every non-group subject; alone = own id."""
-    found = connected_components(identity_links(subject)).withColumnRenamed("vertex", "subject_id")
-    everyone = subject.where(F.col("type") != "group").select(F.col("id").alias("subject_id"))
-    return everyone.join(found, "subject_id", "left").select(
-        "subject_id", F.coalesce("component_id", "subject_id").alias("component_id")
-    )
+    numbers = subject_numbers(subject)
+    found = connected_components(identity_links(subject, numbers)).withColumnRenamed("component_id", "centre")
+    centres = numbers.select(F.col("subject_id").alias("component_id"), F.col("vertex").alias("centre"))
+    placed = numbers.join(found, "vertex", "left").withColumn("centre", F.coalesce("centre", "vertex"))
+    return skew_join(placed, centres, "centre").select("subject_id", "component_id")
 
 
 def correlated_members(subject: DataFrame) -> DataFrame:

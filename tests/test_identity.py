@@ -116,3 +116,16 @@ def test_sod_across_systems(spark, estate_of):
     assert got == [("a", 0, True), ("b", 0, True), ("c", 1, False)]
     # Declared keys do not count for the assignment flag; one permission may hold both sides.
     assert rows(sod.sod_pair_assignments(e, pairs), "assignment_id") == [("c/both/0",)]
+
+
+def test_components_group_numbers_by_hash(spark, estate_of):
+    people = [subject(f"s{i}", email=f"m{i // 2}@x", source="okta" if i % 2 else "entra") for i in range(8)]
+    e = estate_of(subject=people)
+    numbers = identity.subject_numbers(e.subject)
+    assert sorted((r.subject_id, r.vertex) for r in numbers.collect()) == [(f"s{i}", i) for i in range(8)]
+    links = identity.identity_links(e.subject, numbers)
+    for table in (links, identity._large_star(links), identity._small_star(links)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    found = {r.subject_id: r.component_id for r in identity.identity_components(e.subject).collect()}
+    assert found == {f"s{i}": f"s{i - i % 2}" for i in range(8)}

@@ -127,13 +127,13 @@ def _(b):
 
 
 @case("reachable_resources", """
-SELECT r.subject_id, r.resource_id, x.name, x.type, x.sensitivity, x.source FROM reach r JOIN resource x ON x.id = r.resource_id""")
+SELECT r.subject_id, r.resource_id, x.name, 'supplier' AS type, x.sensitivity, x.source FROM reach r JOIN resource x ON x.id = r.resource_id""")
 def _(b):
     return graph.reachable_resources(b.estate)
 
 
 @case("critical_resources", """
-SELECT a.subject_id, a.permission_id, x.id AS resource_id, x.name, x.type, x.source
+SELECT a.subject_id, a.permission_id, x.id AS resource_id, x.name, 'supplier' AS type, x.source
 FROM (SELECT DISTINCT subject_id, permission_id FROM assignment) a JOIN "grant" g ON g.permission_id = a.permission_id
 JOIN resource x ON x.id = g.resource_id AND x.sensitivity = 'critical'""")
 def _(b):
