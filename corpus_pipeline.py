@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether decoding gives the text back."""
+    """Ids of every text; a text that decoding does not give back fails the job (``byte_bpe.Codec.run``)."""
     importable(spark)
     found = byte_bpe.encoded(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

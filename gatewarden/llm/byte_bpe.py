@@ -28,35 +28,39 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 LONG = 64
 #: Rows that one recursive query may make (sum of squared piece lengths).
-PORTION = 3_000_000
+PORTION = 1_000_000
+#: Bytes of text that are encoded and decoded at once.
+TEXTS = 1 << 20
 #: Pieces that a worker remembers, and as many again of those before.
-REMEMBERED = 300_000
-DUCKDB_MEMORY = "300MB"
+REMEMBERED = 200_000
+DUCKDB_MEMORY = "100MB"
 
 _MERGE = """
 WITH RECURSIVE steps AS (
-  SELECT w, p, tok, np, nxt, 0 AS step FROM (
+  SELECT w, p, tok, np, nxt, false AS finished FROM (
     SELECT w, p, tok, lead(p) OVER line AS np, lead(tok) OVER line AS nxt FROM start
     WINDOW line AS (PARTITION BY w ORDER BY p))
   UNION ALL
   (WITH best AS (
      -- the smallest rank, and of equal ranks the leftmost position
-     SELECT s.w, min((m.rank::BIGINT << 32) | s.p) AS key
-     FROM steps s JOIN merges m ON m.l = s.tok AND m.r = s.nxt GROUP BY s.w),
-   spot AS (
-     SELECT b.w, b.key & 4294967295 AS here, (b.key >> 32)::INT AS tok, s.np AS gone
-     FROM best b JOIN steps s ON s.w = b.w AND s.p = b.key & 4294967295),
-   pair AS (SELECT e.*, d.np, d.nxt FROM spot e JOIN steps d ON d.w = e.w AND d.p = e.gone)
+     SELECT s.w, min((m.rank::BIGINT << 32) | s.p) AS key, arg_min(s.np, (m.rank::BIGINT << 32) | s.p) AS gone
+     FROM steps s JOIN merges m ON m.l = s.tok AND m.r = s.nxt WHERE NOT s.finished GROUP BY s.w),
+   pair AS (
+     SELECT b.w, b.key & 4294967295 AS here, (b.key >> 32)::INT AS tok, b.gone, d.np, d.nxt
+     FROM best b JOIN steps d ON d.w = b.w AND d.p = b.gone)
    SELECT s.w, s.p,
      CASE WHEN s.p = e.here THEN e.tok ELSE s.tok END,
      CASE WHEN s.p = e.here THEN e.np ELSE s.np END,
      CASE WHEN s.p = e.here THEN e.nxt WHEN s.np = e.here THEN e.tok ELSE s.nxt END,
-     s.step + 1
-   FROM steps s JOIN pair e ON e.w = s.w WHERE s.p <> e.gone)),
-last AS (SELECT w, max(step) AS step FROM steps GROUP BY w)
-SELECT s.w, list(s.tok ORDER BY s.p) AS ids, string_agg(v.hexed, '' ORDER BY s.p) AS hexed
-FROM steps s JOIN last l ON l.w = s.w AND l.step = s.step JOIN vocabulary v ON v.tok = s.tok
-GROUP BY s.w
+     e.w IS NULL
+   FROM steps s LEFT JOIN pair e ON e.w = s.w WHERE NOT s.finished AND (e.w IS NULL OR s.p <> e.gone)))
+SELECT w, list(tok ORDER BY p) AS ids FROM steps WHERE finished GROUP BY w
+"""
+
+# One thread and an ordered input: the texts' rows reach the aggregate in their order.
+_DECODE = """
+SELECT t, string_agg(hexed, '') AS hexed
+FROM (SELECT t, hexed FROM given JOIN vocabulary USING (tok) ORDER BY t, pos) GROUP BY t
 """
 
 
@@ -78,13 +82,11 @@ class Codec:
         if missing:
             raise ValueError(f"no token for bytes {missing[:5]}")
         self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        # Ids (32-bit little-endian) and decoded bytes of pieces; what is not met again is forgotten.
+        # Ids (32-bit little-endian) of pieces; what is not met again is forgotten.
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older: dict[str, bytes] = {}
         merges = [
             (ranks[whole[:i]], ranks[whole[i:]], rank)
             for whole, rank in ranks.items()
@@ -95,8 +97,8 @@ class Codec:
         kind = pa.int32()
         left, right, rank = zip(*merges, strict=True) if merges else ((), (), ())
         self._table("merges", {"l": pa.array(left, kind), "r": pa.array(right, kind), "rank": pa.array(rank, kind)})
-        hexed = [token.hex() for token in self.token.values()]
-        self._table("vocabulary", {"tok": pa.array(list(self.token), kind), "hexed": pa.array(hexed)})
+        hexed = [token.hex() for token in ranks]
+        self._table("vocabulary", {"tok": pa.array(list(ranks.values()), kind), "hexed": pa.array(hexed)})
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -104,16 +106,15 @@ class Codec:
         self.con.unregister("arriving")
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode and decode pieces that are not known yet."""
+        """Encode pieces that are not known yet."""
         portion, rows = [], 0
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self._keep(piece, raw, [whole], self.token[whole])
+                self.ids[piece] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
-                ids = self.contracted(raw)
-                self._keep(piece, raw, ids, b"".join(map(self.token.__getitem__, ids)))
+                self.ids[piece] = np.array(self.contracted(raw), "<i4").tobytes()
             else:
                 portion.append((piece, raw))
                 rows += len(raw) ** 2
@@ -123,10 +124,6 @@ class Codec:
         if portion:
             self._merge(portion)
 
-    def _keep(self, piece: str, raw: bytes, ids: list[int], decoded: bytes) -> None:
-        self.ids[piece] = np.array(ids, "<i4").tobytes()
-        self.decoded[piece] = raw if decoded == raw else decoded
-
     def _merge(self, portion: list[tuple[str, bytes]]) -> None:
         sizes = np.array([len(raw) for _, raw in portion])
         ends = np.cumsum(sizes)
@@ -135,11 +132,34 @@ class Codec:
             "p": pa.array((np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)),
             "tok": pa.array(self.byte[np.frombuffer(b"".join(raw for _, raw in portion), np.uint8)]),
         }
-        self.con.register("start", pa.table(start))
-        for w, ids, hexed in self.con.execute(_MERGE).fetchall():
-            piece, raw = portion[w]
-            self._keep(piece, raw, ids, bytes.fromhex(hexed))
-        self.con.unregister("start")
+        found = self._answer("start", start, _MERGE)
+        lists = found["ids"]
+        flat = np.asarray(lists.values, "<i4").tobytes()
+        offsets = (np.asarray(lists.offsets) * 4).tolist()
+        for w, begin, end in zip(found["w"].to_pylist(), offsets, offsets[1:]):
+            self.ids[portion[w][0]] = flat[begin:end]
+
+    def _answer(self, name: str, columns: dict[str, pa.Array], sql: str) -> dict[str, pa.Array]:
+        self.con.register(name, pa.table(columns))
+        found = self.con.sql(sql).to_arrow_table().combine_chunks()
+        self.con.unregister(name)
+        return {c: found[c].chunk(0) if found.num_rows else pa.array([]) for c in found.schema.names}
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of every text's ids, by an ordered aggregation of their rows."""
+        counts = [len(i) // 4 for i in ids]
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        given = {
+            "t": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), counts)),
+            "pos": pa.array(np.arange(len(flat), dtype=np.int32)),
+            "tok": pa.array(flat),
+        }
+        decoded = [b""] * len(ids)
+        if len(flat):
+            found = self._answer("given", given, _DECODE)
+            for t, hexed in zip(found["t"].to_pylist(), found["hexed"].to_pylist()):
+                decoded[t] = bytes.fromhex(hexed)
+        return decoded
 
     def contracted(self, raw: bytes) -> list[int]:
         """Ids of one long piece: leftmost pair of minimum rank first, kept in a heap."""
@@ -173,17 +193,17 @@ class Codec:
         split = [self.split(text) if text else [] for text in texts]
         wanted = set().union(*split)
         if len(self.ids) + len(wanted) > REMEMBERED:
-            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+            self.older, self.ids = self.ids, {}
         missing = wanted.difference(self.ids)
-        ids, decoded = self.older
-        met = missing.intersection(ids)
-        self.ids.update(zip(met, map(ids.__getitem__, met)))
-        self.decoded.update(zip(met, map(decoded.__getitem__, met)))
+        met = missing.intersection(self.older)
+        self.ids.update(zip(met, map(self.older.__getitem__, met)))
         self.learn(missing - met)
-        return (
-            [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split],
-            [b"".join(map(self.decoded.__getitem__, pieces)) for pieces in split],
-        )
+        ids = [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split]
+        decoded = self.decode(ids)
+        for text, back in zip(texts, decoded, strict=True):
+            if back != (text or "").encode():
+                raise RuntimeError("the decoded bytes differ from the text that was encoded")
+        return ids, decoded
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -204,7 +224,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         if codec is None:
             codec = _CODECS[key] = Codec(parse_ranks(content.value), pattern)
         for batch in batches:
-            # Portions of some megabytes of text keep the lists of pieces small.
+            # Portions of a megabyte of text keep the lists of pieces small.
             for part in portions(batch):
                 ids, decoded = codec.run(part.column("text").to_pylist())
                 offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
@@ -221,8 +241,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def portions(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with some megabytes of text each; a longer text is a slice of its own."""
+def portions(batch: pa.RecordBatch, most: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each; a longer text is a slice of its own."""
     sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text").cast(pa.binary())])
     at = 0
     while at < batch.num_rows:

@@ -47,7 +47,7 @@ def test_recursive_query_and_heap_agree_with_the_library(library):
     codec._merge([(p, p.encode()) for p in pieces])
     for piece in pieces:
         ids = codec.ids[piece]
-        assert codec.decoded[piece] == piece.encode()
+        assert codec.decode([ids]) == [piece.encode()]
         want = library._core_bpe.encode_single_piece(piece.encode())
         assert codec.contracted(piece.encode()) == want
         if piece.encode() not in codec.ranks:
