@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewarden.functions import fixed_values as fixed
 from gatewarden.functions.scalars import clamp, ratio_or_zero
+from gatewarden.operators import predicates
 from gatewarden.plans.durable import materialize
 from gatewarden.plans.joins import skew_join
 from gatewarden.plans.tables import literal_table
@@ -228,48 +229,45 @@ def evaluate_policies(
     """Triggered (policy, subject) pairs of one customer's active policies.
 
     ``subjects`` has subject_id, source, type, department, has_privileged and a map
-    ``attributes``; ``values`` is a :func:`feature_values` table. Subjects meet
-    policies by an equi join on scope keys: every subject is looked up under
-    its own source and under "any source", so only pairs whose source
-    scope fits ever exist. Everything else is decided inside the row: any rule
-    fires, and confidence folds over the fired rules in their order, clamped to
-    [0, 1] at each step.
+    ``attributes``; ``values`` is a :func:`feature_values` table. Subjects meet rules through the
+    index of ``predicates``: only those that pass a rule's rarest predicate are candidates. What
+    remains of scope and conditions is judged on the candidates; the rules that fire are gathered per
+    policy and subject (a handful, people wrote them), and confidence folds over them in their order,
+    clamped to [0, 1] at each step.
     """
     active = policies.where((F.col("customer_id") == customer_id) & (F.col("status") == "active"))
-    keyed = materialize(nested_rules(active, rules, conditions), "policies").withColumn(
-        "scope_key",
-        F.explode(
-            F.when(F.size(F.coalesce("scope_sources", F.array().cast(STRINGS))) == 0, F.array(F.lit("*")))
-            .otherwise(F.array_distinct("scope_sources"))
-        ),
-    ).withColumnRenamed("id", "policy_id")
-    known = subjects.join(values, "subject_id", "left")
-    looked_up = known.withColumn("scope_key", F.explode(F.array(F.lit("*"), F.col("source"))))
-    pairs = skew_join(looked_up, keyed, "scope_key", spread_by=["subject_id"]).where(
-        in_scope(F.col("attributes"))
-    )
-    fired = F.filter("rules", lambda r: rule_fires(F.col("values"), r))
-    confidence = F.aggregate(
-        "fired",
-        F.col("base_confidence"),
-        lambda acc, r: clamp(acc + r["confidence_boost"], 0.0, 1.0),
+    nested = materialize(nested_rules(active, rules, conditions), "policies")
+    single = nested.withColumnRenamed("id", "policy_id").withColumns(
+        {
+            "rule": F.explode("rules"),
+            "names": F.array_distinct(
+                F.flatten(F.transform("rules", lambda r: F.transform(r["conditions"], lambda c: c["feature_name"])))
+            ),
+        }
+    ).drop("rules")
+    judged = materialize(single.withColumn("rule_no", F.col("rule.rule_no")), "rules")
+    parsed = judged.select("policy_id", "rule_no", F.inline("rule.conditions"))
+    known = materialize(subjects.join(values, "subject_id", "left"), "known-subjects")
+    met = predicates.candidates(known, nested, parsed)
+    looked_up = skew_join(met, judged, ["policy_id", "rule_no"], spread_by=["subject_id"]).join(known, "subject_id")
+    fired = looked_up.where(in_scope(F.col("attributes")) & rule_fires(F.col("values"), F.col("rule")))
+    snapshot = F.map_from_arrays(
+        "names", F.transform("names", lambda n: F.try_element_at(F.col("values"), n)["text"])
     )
-    names = F.array_distinct(
-        F.flatten(F.transform("rules", lambda r: F.transform(r["conditions"], lambda c: c["feature_name"])))
+    gathered = fired.groupBy("policy_id", "subject_id").agg(
+        F.array_sort(F.collect_list(F.struct("rule_no", F.col("rule.confidence_boost").alias("boost")))).alias("fired"),
+        F.first("base_confidence").alias("base_confidence"),
+        F.first(snapshot).alias("feature_snapshot"),
+        F.first("suggested_at").alias("policy_suggested_at"),
     )
-    return (
-        pairs.withColumn("fired", fired)
-        .where(F.size("fired") > 0)
-        .select(
-            "policy_id",
-            "subject_id",
-            confidence.alias("confidence"),
-            F.transform("fired", lambda r: r["rule_no"]).alias("matched_rules"),
-            F.map_from_arrays(
-                names, F.transform(names, lambda n: F.try_element_at(F.col("values"), n)["text"])
-            ).alias("feature_snapshot"),
-            F.col("suggested_at").alias("policy_suggested_at"),
-        )
+    confidence = F.aggregate("fired", F.col("base_confidence"), lambda acc, r: clamp(acc + r["boost"], 0.0, 1.0))
+    return gathered.select(
+        "policy_id",
+        "subject_id",
+        confidence.alias("confidence"),
+        F.transform("fired", lambda r: r["rule_no"]).alias("matched_rules"),
+        "feature_snapshot",
+        "policy_suggested_at",
     )
 
 
@@ -424,36 +422,68 @@ def graduation_candidates(policies: DataFrame) -> DataFrame:
     )
 
 
-def similar_policies(policies: DataFrame, conditions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(policy_id, similar_id, similarity): policies like the ``wanted`` ones (column id).
+def similar_policies(policies: DataFrame, conditions: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): which sets of feature names are alike, and which policies have which set.
+
+    Policies are alike when they share a category and the Jaccard index of their referenced feature names is
+    ``least`` or more. ``members`` is (policy_id, category, set_id, features), ``pairs`` is (category, set_id,
+    other_id, similarity) over the distinct sets, each pair once; policies of one set are alike by 1. So the
+    output grows with the policies and their distinct sets, not with the pairs of policies.
 
-    Same category and a Jaccard index of the referenced feature names of at least
-    one half. Policies are grouped by their feature set first; sets are compared
-    once through their shared features, and policies meet only sets that qualify.
+    Sets of size s can only reach ``least`` if they share one of their s - ceil(least * s) + 1 rarest
+    names (names in order of rarity), so only those are joined, and only for sizes within a factor of ``least``.
     """
     named = conditions.select(F.col("policy_id").alias("id"), "feature_name").distinct()
     # A person wrote the policy: its feature names are few.
     sets = named.groupBy("id").agg(F.array_sort(F.collect_set("feature_name")).alias("features"))
-    grouped = policies.select("id", "category").join(sets, "id")
-    kinds = grouped.select("category", "features").distinct()
-    asked = grouped.join(wanted.select("id"), "id", "left_semi")
-    asked_kinds = asked.select("category", "features").distinct()
-    by_feature = kinds.select("category", F.col("features").alias("other"), F.explode("features").alias("f"))
-    shared = (
-        asked_kinds.select("category", "features", F.explode("features").alias("f"))
-        .join(by_feature, ["category", "f"])
-        .groupBy("category", "features", "other")
-        .agg(F.count(F.lit(1)).alias("common"))
+    set_id = F.sha2(F.to_json("features"), 256)
+    members = materialize(
+        policies.select("id", "category").join(sets, "id").select(
+            F.col("id").alias("policy_id"), "category", set_id.alias("set_id"), "features"
+        ),
+        "policy-sets",
+    )
+    kinds = materialize(members.select("category", "set_id", "features").distinct(), "distinct-sets")
+    rarity = kinds.select("category", F.explode("features").alias("f")).groupBy("category", "f").agg(F.count(F.lit(1)).alias("n"))
+    ordered = (
+        skew_join(kinds.select("category", "set_id", "features", F.explode("features").alias("f")), rarity, ["category", "f"])
+        .groupBy("category", "set_id", "features")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("by_rarity"))
+    )
+    size = F.size("features")
+    prefix = F.slice("by_rarity", F.lit(1), (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
+    entries = materialize(
+        ordered.select("category", "set_id", "features", F.explode(F.transform(prefix, lambda p: p["f"])).alias("f")), "set-prefixes"
+    )
+    right = entries.select("category", "f", F.col("set_id").alias("other_id"), F.col("features").alias("other"))
+    met = skew_join(entries, right, ["category", "f"], spread_by=["set_id"]).where(
+        (F.col("set_id") < F.col("other_id"))
+        & (F.size("features") >= F.lit(least) * F.size("other"))
+        & (F.size("other") >= F.lit(least) * F.size("features"))
+    )
+    common = F.size(F.array_intersect("features", "other"))
+    similarity = common / (F.size("features") + F.size("other") - common).cast("double")
+    pairs = (
+        met.select("category", "set_id", "other_id", similarity.alias("similarity"))
+        .where(F.col("similarity") >= least)
+        .distinct()
+    )
+    return pairs, members
+
+
+def similar_to(wanted: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(policy_id, similar_id, similarity) for a few ``wanted`` policies (column id), from :func:`similar_policies`."""
+    both = pairs.unionByName(
+        pairs.select("category", F.col("other_id").alias("set_id"), F.col("set_id").alias("other_id"), "similarity")
     )
-    union_size = F.size("features") + F.size("other") - F.col("common")
-    alike = shared.withColumn("similarity", F.col("common") / union_size.cast("double")).where(
-        F.col("similarity") >= 0.5
+    same = members.select("category", "set_id", F.col("set_id").alias("other_id"), F.lit(1.0).alias("similarity")).distinct()
+    asked = members.join(wanted.select(F.col("id").alias("policy_id")), "policy_id", "left_semi").select(
+        "policy_id", "category", "set_id"
     )
-    partners = grouped.select(F.col("id").alias("similar_id"), "category", F.col("features").alias("other"))
+    partners = members.select(F.col("policy_id").alias("similar_id"), "category", F.col("set_id").alias("other_id"))
     return (
-        asked.withColumnRenamed("id", "policy_id")
-        .join(alike, ["category", "features"])
-        .join(partners, ["category", "other"])
+        asked.join(both.unionByName(same), ["category", "set_id"])
+        .join(partners, ["category", "other_id"])
         .where(F.col("policy_id") != F.col("similar_id"))
         .select("policy_id", "similar_id", "similarity")
     )

@@ -1,11 +1,12 @@
 import json
 import operator
+import random
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from gatewarden.operators import policies as pol, suggestions
+from gatewarden.operators import policies as pol, predicates, suggestions
 
 VALUES = [None, 0, 5, 5.0, "5", "human", True, False]
 THRESHOLDS = [None, 5, 4.5, "human", "5", True, [5, "human"], [None], [1], "a human here", []]
@@ -131,8 +132,88 @@ def test_similarity_of_feature_sets(spark):
         [("a", 0, 0, "x", "gt", "1"), ("a", 0, 1, "y", "gt", "1"), ("b", 0, 0, "x", "lt", "1"), ("b", 1, 0, "x", "lt", "2"),
          ("c", 0, 0, "z", "gt", "1"), ("other", 0, 0, "x", "gt", "1")],
     )
-    got = rows(pol.similar_policies(p, c, p.where("id = 'a'")), "similar_id", "similarity")
-    assert got == [("b", 0.5)]
+    pairs, members = pol.similar_policies(p, c)
+    assert rows(pol.similar_to(p.where("id = 'a'"), pairs, members), "similar_id", "similarity") == [("b", 0.5)]
+
+
+def test_similar_sets_lose_no_pair(spark):
+    draw = random.Random(3)
+    named = {f"q{i}": set(draw.sample("abcdefgh", draw.randint(1, 6))) for i in range(70)}
+    p, _, c = tables(
+        spark, [{"id": i, "category": "zero_trust" if int(i[1:]) % 3 else "custom"} for i in named], [],
+        [(i, 0, j, f, "gt", "1") for i, fs in named.items() for j, f in enumerate(sorted(fs))],
+    )
+    pairs, members = pol.similar_policies(p, c)
+    got = set(rows(pol.similar_to(p, pairs, members), "policy_id", "similar_id"))
+    kind = lambda i: int(i[1:]) % 3 == 0
+    want = {
+        (a, b) for a in named for b in named
+        if a != b and kind(a) == kind(b) and 2 * len(named[a] & named[b]) >= len(named[a] | named[b])
+    }
+    assert got == want
+    assert pairs.count() <= len({(kind(i), frozenset(s)) for i, s in named.items()}) ** 2 / 2
+
+
+def naive_evaluation(subjects, values, policies, rules, conditions):
+    """Every subject against every policy."""
+    nested = pol.nested_rules(policies, rules, conditions).withColumnRenamed("id", "policy_id")
+    met = subjects.join(values, "subject_id", "left").crossJoin(nested).where(pol.in_scope(F.col("attributes")))
+    fired = F.filter("rules", lambda r: pol.rule_fires(F.col("values"), r))
+    return met.withColumn("fired", fired).where(F.size("fired") > 0).select(
+        "policy_id", "subject_id", F.transform("fired", lambda r: r["rule_no"]).alias("matched_rules")
+    )
+
+
+def test_index_finds_what_all_pairs_find(spark):
+    draw = random.Random(8)
+    names = ["n", "m", "k", "flag", "absent"]
+    people = [
+        (f"s{i}", draw.choice(["okta", "entra", None]), draw.choice(["human", "group"]), draw.choice(["x", "y", None]), draw.random() < 0.5,
+         {"segment": draw.choice("ab")} if draw.random() < 0.7 else None)
+        for i in range(60)
+    ]
+    subjects = spark.createDataFrame(
+        people, "subject_id string, source string, type string, department string, has_privileged boolean, attributes map<string,string>"
+    )
+    facts = [
+        (f"s{i}", draw.choice([None, 0, 1, 2, 3, 50]), draw.choice([0.0, -0.0, 1.5, None, float("nan")]), draw.choice(["a", "b", "1", None]), draw.choice([True, False, None]))
+        for i in range(55)
+    ]
+    values = pol.feature_values(spark.createDataFrame(facts, "subject_id string, n int, m double, k string, flag boolean"))
+    thresholds = [0, 1, 2, 1.5, "a", "1", None, True, [1, 2], ["a", None], [], "abc", -0.0]
+    scope = lambda options: draw.choice([None, [], options, options[:1]])
+    policies, rules, conditions = [], [], []
+    for i in range(60):
+        policies.append({"id": f"p{i}", "scope_sources": scope(["okta", "entra"]), "scope_types": scope(["human"]), "scope_departments": scope(["x", "y"]),
+                         "privileged_only": draw.choice([None, True, False]), "custom_filter": draw.choice([None, {"segment": "a"}, {"segment": None}])})
+        for r in range(draw.randint(1, 3)):
+            rules.append((f"p{i}", r, 0.1))
+            for j in range(draw.randint(1, 3)):
+                op = draw.choice(["gt", "gte", "lt", "lte", "eq", "neq", "in", "not_in"])
+                conditions.append((f"p{i}", r, j, draw.choice(names), op, json.dumps(draw.choice(thresholds))))
+    p, r, c = tables(spark, policies, rules, conditions)
+    got = pol.evaluate_policies(subjects, values, p, r, c, "c").select("policy_id", "subject_id", "matched_rules")
+    want = naive_evaluation(subjects, values, p, r, c)
+    key = lambda x: (x[0], x[1], tuple(x[2]))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) != []
+
+
+def test_candidates_stay_near_the_matches(spark):
+    """1,000 policies of scope "everybody" ask for one rare value each; pairs would be 200,000."""
+    subjects = spark.createDataFrame(
+        [(f"s{i}", "okta", "human", "x", False) for i in range(200)], "subject_id string, source string, type string, department string, has_privileged boolean"
+    ).withColumn("attributes", F.create_map().cast("map<string,string>"))
+    values = pol.feature_values(spark.createDataFrame([(f"s{i}", i, f"k{i}") for i in range(200)], "subject_id string, n int, k string"))
+    p, r, c = tables(
+        spark, [{"id": f"p{i}"} for i in range(1000)], [(f"p{i}", 0, 0.0) for i in range(1000)],
+        [(f"p{i}", 0, 0, "n", "gte", "0") for i in range(1000)]
+        + [(f"p{i}", 0, 1, *(("k", "eq", f'"k{i % 200}"') if i % 2 else ("n", "gt", str(195 + i % 4)))) for i in range(1000)],
+    )
+    nested = pol.nested_rules(p, r, c)
+    parsed = nested.select(F.col("id").alias("policy_id"), F.explode("rules").alias("rule")).select("policy_id", "rule.rule_no", F.inline("rule.conditions"))
+    found = predicates.candidates(subjects.join(values, "subject_id"), nested, parsed)
+    matches = pol.evaluate_policies(subjects, values, p, r, c, "c").count()
+    assert found.count() == matches == 500 + 250 * (4 + 2)
 
 
 def test_native_and_general_conditions_agree(spark):

@@ -106,6 +106,24 @@ def _(b):
     )
 
 
+@case("policy_evaluation_of_many", """
+SELECT 'Q' || p_partkey AS policy_id, s.subject_id FROM part JOIN simple s
+ON (p_partkey & 1 = 0 OR t > 1) AND (p_partkey & 2 = 0 OR p > 1) AND (p_partkey & 4 = 0) AND (p_partkey & 8 = 0) AND (p_partkey & 16 = 0)
+WHERE p_partkey % 4 = 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 32 > 0""", SIMPLE)
+def _(b):
+    # Policies of scope "everybody", as many as there are parts; a feature without a value passes no comparison.
+    policies, rules, conditions = many_policies(b)
+    scope = {f"scope_{c}s": F.array().cast("array<string>") for c in ("source", "type", "department")}
+    policies = policies.withColumns({
+        **scope, "privileged_only": F.lit(False), "custom_filter": F.lit(None).cast("map<string,string>"),
+    })
+    features = simple_features(b)
+    found = pol.evaluate_policies(
+        scoped_subjects(b, features), pol.feature_values(features), policies, rules, conditions, customer_id="acme"
+    )
+    return found.select("policy_id", "subject_id")
+
+
 @case("policy_feature_snapshot", """
 SELECT subject_id, CAST(d AS VARCHAR) AS days_inactive, type FROM simple WHERE d > 90 AND type = 'human'""", SIMPLE)
 def _(b):
@@ -228,16 +246,33 @@ def _(b):
     return pol.graduation_candidates(many_policies(b)[0]).select("id")
 
 
+SETS = {"policy_set": """
+SELECT 'Q' || p_partkey AS policy_id, CASE WHEN p_partkey % 2 = 0 THEN 'zero_trust' ELSE 'anomaly' END AS category, (p_partkey % 32)::INT AS mask,
+  array_to_string(list_filter([CASE WHEN p_partkey & 2 > 0 THEN 'privileged_permissions' END, CASE WHEN p_partkey & 16 > 0 THEN 'status' END,
+   CASE WHEN p_partkey & 1 > 0 THEN 'total_permissions' END, CASE WHEN p_partkey & 8 > 0 THEN 'type' END,
+   CASE WHEN p_partkey & 4 > 0 THEN 'usage_ratio' END], x -> x IS NOT NULL), ',') AS features
+FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 32 > 0"""}
+
+
 @case("similar_policies", """
-SELECT 'Q' || a.p_partkey AS policy_id, 'Q' || b.p_partkey AS similar_id,
-  round(bit_count(((a.p_partkey % 32) & (b.p_partkey % 32))::INT) / bit_count(((a.p_partkey % 32) | (b.p_partkey % 32))::INT)::DOUBLE, 6) AS similarity
-FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_partkey % 2 = b.p_partkey % 2
-WHERE a.p_partkey % 4 = 1 AND a.p_partkey % 13 >= 10 AND a.p_partkey % 5 <> 0 AND b.p_partkey % 5 <> 0 AND a.p_partkey % 32 > 0 AND b.p_partkey % 32 > 0
- AND 2 * bit_count(((a.p_partkey % 32) & (b.p_partkey % 32))::INT) >= bit_count(((a.p_partkey % 32) | (b.p_partkey % 32))::INT)""")
+SELECT a.category, a.features, b.features AS other, round(bit_count(a.mask & b.mask) / bit_count(a.mask | b.mask)::DOUBLE, 6) AS similarity
+FROM (SELECT DISTINCT category, features, mask FROM policy_set) a JOIN (SELECT DISTINCT category, features, mask FROM policy_set) b
+ON a.category = b.category AND a.features < b.features WHERE 2 * bit_count(a.mask & b.mask) >= bit_count(a.mask | b.mask)""", SETS)
+def _(b):
+    policies, _, conditions = many_policies(b)
+    pairs, members = pol.similar_policies(policies, conditions)
+    sets = members.select("category", "set_id", joined("features")).distinct()
+    other = sets.select("category", F.col("set_id").alias("other_id"), F.col("features").alias("other"))
+    both = pairs.join(sets, ["category", "set_id"]).join(other, ["category", "other_id"])
+    return both.select(
+        "category", F.least("features", "other").alias("features"), F.greatest("features", "other").alias("other"), r6("similarity")
+    )
+
+
+@case("similar_policy_sets", "SELECT policy_id, category, features FROM policy_set", SETS)
 def _(b):
-    # What other policies are like those that are about to graduate?
     policies, _, conditions = many_policies(b)
-    return pol.similar_policies(policies, conditions, pol.graduation_candidates(policies)).select("policy_id", "similar_id", r6("similarity"))
+    return pol.similar_policies(policies, conditions)[1].select("policy_id", "category", joined("features"))
 
 
 # --- conditions in long form -----------------------------------------------------------
