@@ -250,7 +250,7 @@ SETS = {"policy_set": """
 SELECT 'Q' || p_partkey AS policy_id, CASE WHEN p_partkey % 2 = 0 THEN 'zero_trust' ELSE 'anomaly' END AS category, (p_partkey % 32)::INT AS mask,
   array_to_string(list_filter([CASE WHEN p_partkey & 2 > 0 THEN 'privileged_permissions' END, CASE WHEN p_partkey & 16 > 0 THEN 'status' END,
    CASE WHEN p_partkey & 1 > 0 THEN 'total_permissions' END, CASE WHEN p_partkey & 8 > 0 THEN 'type' END,
-   CASE WHEN p_partkey & 4 > 0 THEN 'usage_ratio' END], x -> x IS NOT NULL), ',') AS features
+   CASE WHEN p_partkey & 4 > 0 THEN 'usage_ratio' END], lambda x: x IS NOT NULL), ',') AS features
 FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 32 > 0"""}
 
 
