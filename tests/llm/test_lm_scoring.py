@@ -1,10 +1,12 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gatewarden.llm import lm_scoring
+from gatewarden.llm import chunks, lm_scoring
 from tests.llm.conftest import words_of
 
 
@@ -53,3 +55,23 @@ def test_one_document_and_none(spark, no_docs):
     assert (row.n_words, row.n_full, row.n_unseen) == (3, 0, 3)
     assert row.log_score == pytest.approx((1 + 2 + 3) * math.log(0.4))
     assert lm_scoring.scores(no_docs).count() == 0
+
+
+def test_portions_do_not_change_scores(monkeypatch, sentences):
+    texts = [sentences(i, n, "ab") for i, n in enumerate((0, 3, 500, 1, 0, 2000, 40))] + [None]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    words = chunks.Words(table, lower=True)
+    known = []
+    for k in range(4):
+        grams, counts = lm_scoring._distinct(words, k)
+        known.append((grams, (counts * 2).astype(np.uint64)))
+
+    def all_portions():
+        parts = [lm_scoring._scored(words, a, b, known, 0.4) for a, b in lm_scoring._portions(words.count)]
+        return [np.concatenate(column) for column in zip(*parts, strict=True)]
+
+    whole = all_portions()
+    monkeypatch.setattr(lm_scoring, "PORTION", 100)
+    assert len(lm_scoring._portions(words.count)) > 3
+    for a, b in zip(whole, all_portions(), strict=True):
+        assert np.array_equal(a, b)
