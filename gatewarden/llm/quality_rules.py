@@ -7,7 +7,12 @@ corrected for all rules and strata, that it rejects at most a stated share of go
 Within a rule and stratum the cutoffs are tested from the loosest to the tightest and testing
 stops at the first failure (a fixed sequence, so the grid itself needs no correction); across
 rules and strata the level is divided by their number (Bonferroni). False rejections of the
-rules add up at most, so the stated share is divided by the number of rules as well. Of the
+rules add up at most, so the stated share is divided by the number of rules as well.
+
+A language has a stratum of its own if its good labels suffice to prove a cutoff at that level
+(``least_good``: without a single false rejection, at least); all others are judged together. Languages
+are named in the order of their labels for as long as they, and those that are left, suffice, so every
+stratum can prove a cutoff unless all labels together cannot. Of the
 cutoffs that hold, the one with the largest surplus of bad over good shares rejected is used
 (ties: the loosest); a rule without a surplus, or that catches hardly any bad document, stays off.
 
@@ -29,6 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gatewarden.plans.durable import materialize
+from gatewarden.plans.joins import skew_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -52,10 +58,6 @@ class Risk:
     false_rejections: float = 0.05
     #: Probability that the guarantee fails anywhere.
     error: float = 0.05
-    #: A language with fewer good labels is judged with the pooled stratum.
-    min_good: int = 300
-    #: At most so many languages have a stratum of their own (those with most good labels).
-    max_strata: int = 200
     #: A rule that rejects a smaller share of a stratum's bad documents is not worth its risk and stays off.
     min_capture: float = 0.02
 
@@ -179,27 +181,35 @@ def tallies(facts: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def least_good(strata: Column, risk: Risk) -> Column:
+    """Good labels with which a cutoff that rejects none of them is proven, when there are so many strata."""
+    level = F.lit(risk.error / len(RULES)) / strata
+    return F.ln(level) / F.ln(F.lit(1.0 - risk.false_rejections / len(RULES)))
+
+
 def named_strata(tally: DataFrame, risk: Risk) -> DataFrame:
-    """lang, stratum of the languages that are judged on their own, ``risk.max_strata`` at most."""
-    return (
-        tally.where(F.col("lang").isNotNull() & (F.col("rule") == next(iter(RULES))))
-        .groupBy("lang")
-        .agg(F.sum("good").alias("n"))
-        .where(F.col("n") >= risk.min_good)
-        .orderBy(F.desc("n"), "lang")
-        .limit(risk.max_strata)
-        .select("lang", F.col("lang").alias("stratum"))
+    """lang, stratum of the languages that are judged on their own; works on one row per language."""
+    first = tally.where(F.col("rule") == next(iter(RULES))).groupBy("lang").agg(F.sum("good").alias("n"))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
+    order = Window.orderBy(F.desc("n"), "lang")
+    ranked = first.where(F.col("lang").isNotNull()).select(
+        "lang", "n", F.row_number().over(order).alias("place"),
+        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("so_far"),
+        total.alias("total"),
     )
+    need = least_good(F.col("place") + 1, risk)
+    enough = (F.col("n") >= need) & (F.col("total") - F.col("so_far") >= need)
+    judged = ranked.withColumn("last", F.max(F.when(enough, F.col("place"))).over(Window.partitionBy()))
+    return judged.where(F.col("place") <= F.col("last")).select("lang", F.col("lang").alias("stratum"))
 
 
 def cutoffs(tally: DataFrame, strata: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """stratum, rule, cutoff of every cutoff in force, with the counts that justify it.
 
-    Works on one row per language, rule and level; the result has at most
-    (``risk.max_strata`` + 1) times the number of rules.
+    Works on one row per language, rule and level; the result has a row per stratum and rule.
     """
     tally = (
-        tally.join(F.broadcast(strata), "lang", "left")
+        tally.join(strata, "lang", "left")
         .groupBy(F.coalesce("stratum", F.lit(POOLED)).alias("stratum"), "rule", "level")
         .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     )
@@ -249,19 +259,22 @@ def _cutoff_at_level() -> Column:
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """doc_id, the counts, base_failed, the rules that fired and ``kept``, one row per input row.
 
-    The counts are stored once: the cutoffs and the verdicts both read them. The cutoffs, one
-    row per stratum, are bounded by ``risk.max_strata`` and therefore broadcast.
+    The counts are stored once: the cutoffs and the verdicts both read them. Strata and cutoffs, a row per
+    language at most, are stored too, so Spark knows their size and broadcasts them where they fit.
     """
     facts = measured(materialize(text_counts(docs), "quality-counts"))
     tally = materialize(tallies(facts, labels), "quality-tallies")
     strata = materialize(named_strata(tally, risk), "quality-strata")
-    limits = cutoffs(tally, strata, risk).groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"{rule}_limit") for rule in RULES]
+    limits = materialize(
+        cutoffs(tally, strata, risk).groupBy("stratum").agg(
+            *[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"{rule}_limit") for rule in RULES]
+        ),
+        "quality-limits",
     )
-    rows = facts.join(F.broadcast(strata), "lang", "left").withColumn(
+    rows = skew_join(facts, strata, "lang", "left").withColumn(
         "stratum", F.coalesce("stratum", F.lit(POOLED))
     )
-    rows = rows.join(F.broadcast(limits), "stratum", "left")
+    rows = skew_join(rows, limits, "stratum", "left")
     fired = F.array_compact(
         F.array(*[F.when(F.col(rule) > F.col(f"{rule}_limit"), F.lit(rule)) for rule in RULES])
     )

@@ -64,9 +64,13 @@ judged AS (
   SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 holdout AS (SELECT f.*, j.good FROM facts f JOIN judged j USING (doc_id) WHERE NOT base_failed),
 levels AS ({levels}),
+ranked AS (
+  SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS place, sum(n) OVER (ORDER BY n DESC, lang ROWS UNBOUNDED PRECEDING) AS so_far,
+    (SELECT count(*) FILTER (good) FROM holdout) AS total
+  FROM (SELECT lang, count(*) FILTER (good) AS n FROM holdout WHERE lang IS NOT NULL GROUP BY lang)),
+needed AS (SELECT *, ln({risk.error / len(rules)} / (place + 1)) / ln({1 - share}) AS need FROM ranked),
 named AS (
-  SELECT lang, count(*) FILTER (good) AS n FROM holdout WHERE lang IS NOT NULL GROUP BY lang
-  HAVING count(*) FILTER (good) >= {risk.min_good} ORDER BY n DESC, lang LIMIT {risk.max_strata}),
+  SELECT lang FROM ranked WHERE place <= (SELECT max(place) FROM needed WHERE n >= need AND total - so_far >= need)),
 tally AS (
   SELECT coalesce(n.lang, '*') AS stratum, rule, level, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
   FROM levels l LEFT JOIN named n ON n.lang = l.lang GROUP BY 1, 2, 3),

@@ -61,8 +61,7 @@ def test_cutoffs_catch_junk_and_leave_good_texts(spark, sentences):
     rows += [(10_000 + i, sentences(i, 60).replace(" ", "%% "), None, None, None) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     table = spark.createDataFrame([*labels, (0, None, None), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
-    risk = q.Risk(min_good=200)
-    got = {r.doc_id: r for r in q.quality_verdicts(docs, table, risk).collect()}
+    got = {r.doc_id: r for r in q.quality_verdicts(docs, table).collect()}
     assert len(got) == len(rows)
     assert all(got[i].kept for i in range(900) if i % 9)
     assert not any(got[i].kept for i in range(0, 900, 9) if i % 3)
@@ -71,6 +70,27 @@ def test_cutoffs_catch_junk_and_leave_good_texts(spark, sentences):
     assert all(r.kept == (not r.base_failed) for r in strict)
 
 
+def test_every_stratum_can_prove_a_cutoff(spark):
+    risk = q.Risk()
+    share, rule = risk.false_rejections / len(q.RULES), next(iter(q.RULES))
+
+    def provable(n, strata):
+        return (1 - share) ** n <= risk.error / (len(q.RULES) * strata)
+
+    cases = {
+        ("en", "fr"): {"en": 5000, "fr": 700, "de": 470, "es": 307, None: 3},
+        ("en",): {"en": 5000, "fr": 500, "de": 100},
+        (): {"en": 600, "fr": 300},
+        tuple(f"l{i:02}" for i in range(60)): {**{f"l{i:02}": 900 for i in range(60)}, None: 900},
+    }
+    for want, good in cases.items():
+        tally = spark.createDataFrame([(lang, rule, 0, n, 5) for lang, n in good.items()], "lang string, rule string, level int, good long, bad long")
+        named = sorted(r.lang for r in q.named_strata(tally, risk).collect())
+        assert tuple(named) == want
+        pool = sum(n for lang, n in good.items() if lang not in named)
+        assert all(provable(n, len(named) + 1) for n in [*(good[x] for x in named), pool])
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = q.quality_verdicts(odd_docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(1)), labels).collect()
