@@ -6,6 +6,7 @@ from gatewarden import bind
 from gatewarden.functions.fixed_values import MODEL_IDS
 from gatewarden.functions.scalars import as_of_lit
 from gatewarden.operators import access, features as feats, graph, injection, labels, learning
+from gatewarden.operators.scorers import PythonModel, Registry
 from gatewarden.plans.durable import durable_root, materialize
 from gatewarden.sources import cloudtrail, identity_logs, tables
 from gatewarden.streaming import ingest
@@ -177,37 +178,86 @@ def _(b):
     )
 
 
-# The declared 200 rounds per class are 3,000 trees, too many for a query that runs beside others;
-# classes, features and depth are the declared ones.
-ROUNDS = 2
-
-
 def training(b):
     """The flat vectors of all subjects with the labels of all rules."""
     vectors = feats.flat_vectors(b.features)
     return vectors, b.shared("training", lambda: learning.training_set([(vectors, b.labels)]))
 
 
+def models(b):
+    """All classes at the declared 200 rounds, trained once per session and folder."""
+    return b.shared("trained-models", lambda: learning.train_all(training(b)[1])[0])
+
+
 @case("trained_model_metrics")
 def _(b):
-    return learning.train_all(training(b)[1], rounds=ROUNDS)[1]
+    return learning.train_all(training(b)[1])[1]
+
+
+@case("training_counts", """
+SELECT c AS violation_class, floor(0.8 * p) + floor(0.8 * (n - p)) AS n_train, floor(0.8 * p) AS n_positive,
+  n - floor(0.8 * p) - floor(0.8 * (n - p)) AS n_held_out, 200 AS rounds
+FROM (SELECT c, count(DISTINCT l.subject_id) AS p, (SELECT count(*) FROM subject) AS n
+ FROM (SELECT unnest(range(1, 16)) AS c) LEFT JOIN label_row l ON l.violation_class = c GROUP BY 1) WHERE floor(0.8 * p) > 0""", LABELS)
+def _(b):
+    metrics = learning.train_all(training(b)[1])[1]
+    held_out = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return metrics.select("violation_class", "n_train", "n_positive", held_out.alias("n_held_out"), "rounds")
+
+
+def registry(b):
+    trained = models(b)
+    known = Registry()
+    for c in [r.violation_class for r in trained.select("violation_class").collect()]:
+        known.register_scorer(MODEL_IDS[c], learning.model_scorer(trained, c))
+    return known
 
 
 @case("scored_signals")
 def _(b):
-    vectors, rows = training(b)
-    models, _ = learning.train_all(rows, rounds=ROUNDS)
-    scorers = {MODEL_IDS[c]: learning.spark_scorer(model) for c, model in models.items()}
-    ranked = learning.score_all(scorers, vectors, graph.blast_radius(b.estate), as_of_lit(bind.AS_OF))
+    vectors, _ = training(b)
+    ranked, _ = learning.score_all(registry(b), vectors, graph.blast_radius(b.estate), as_of_lit(bind.AS_OF))
     return ranked.select("signal_id", "model_id", "entity_id", "confidence", "severity")
 
 
+class HoardingModel:
+    """A user's model: privileged share of what a subject holds; it cannot judge holders of nothing."""
+
+    def predict(self, row):
+        share = row["privileged_permissions"] / row["total_permissions"]
+        return [(share, "review_access")] if share >= 0.5 else []
+
+
+USER_MODEL = """
+SELECT subject_id, total_permissions AS t, privileged_permissions AS p FROM perm_counts"""
+
+
+def user_model_run(b):
+    counts = access.permission_counts(b.estate).select("subject_id", "total_permissions", "privileged_permissions")
+    known = Registry()
+    known.register_tier2("PB", PythonModel("any", HoardingModel))
+    return known.run(counts)
+
+
+@case("user_model_detections", """
+SELECT 'T2-PB' AS model_id, subject_id, round(p / t::DOUBLE, 6) AS confidence, 'review_access' AS action FROM held WHERE t > 0 AND p / t::DOUBLE >= 0.5""",
+      {"held": USER_MODEL})
+def _(b):
+    return user_model_run(b)[0].select("model_id", "subject_id", r6("confidence"), "action")
+
+
+@case("user_model_failures", """
+SELECT 'T2-PB' AS model_id, 'ZeroDivisionError' AS kind, count(*) AS failures FROM held WHERE t = 0 HAVING count(*) > 0""",
+      {"held": USER_MODEL})
+def _(b):
+    failed = user_model_run(b)[1].groupBy("model_id", F.substring_index("error", ":", 1).alias("kind"))
+    return failed.agg(F.count(F.lit(1)).alias("failures"))
+
+
 @case("fine_tuned_metrics")
 def _(b):
-    vectors, rows = training(b)
-    model, _ = learning.train_class(rows, 8, rounds=ROUNDS)
-    merged = learning.merge_labels(three_sources(b))
-    return learning.fine_tune(model, vectors, merged, 2, rounds=ROUNDS)[1]
+    vectors, _ = training(b)
+    return learning.fine_tune(models(b), vectors, learning.merge_labels(three_sources(b)))[1]
 
 
 # --- streaming -------------------------------------------------------------------------------
