@@ -233,7 +233,8 @@ SELECT subject_id, total_permissions AS t, privileged_permissions AS p FROM perm
 
 
 def user_model_run(b):
-    counts = access.permission_counts(b.estate).select("subject_id", "total_permissions", "privileged_permissions")
+    held = access.permission_counts(b.estate).select("subject_id", "total_permissions", "privileged_permissions")
+    counts = b.estate.subject.select(F.col("id").alias("subject_id")).join(held, "subject_id", "left").fillna(0)
     known = Registry()
     known.register_tier2("PB", PythonModel("any", HoardingModel))
     return known.run(counts)
