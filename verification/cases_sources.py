@@ -27,8 +27,9 @@ SELECT *, event_id AS n, {listed(payloads.TRAIL_NAMES)}[event_id % 13 + 1] AS na
  CASE WHEN event_id % 5 = 0 THEN 'Agent-' ELSE 'deploy' END || user_id AS role FROM events"""}
 
 
-@case("cloudtrail_service_events", f"""
-SELECT 'ev-' || n AS source_event_id, service || ':' || name AS raw_event_name, epoch_us({ISO}) AS at,
+def service_columns(no_target: str) -> str:
+    """What the service profile makes of a record; ``no_target`` tells where the parameters name none."""
+    return f"""'ev-' || n AS source_event_id, service || ':' || name AS raw_event_name, epoch_us({ISO}) AS at,
  CASE WHEN service = 'iam' THEN CASE name WHEN 'CreateUser' THEN 'iam.create_user' WHEN 'AttachRolePolicy' THEN 'iam.attach_policy'
     WHEN 'PutRolePolicy' THEN 'iam.attach_policy' ELSE 'iam.config_change' END
   WHEN service = 'sts' THEN CASE name WHEN 'AssumeRole' THEN 'iam.assume_role' ELSE 'auth.session_start' END
@@ -39,24 +40,31 @@ SELECT 'ev-' || n AS source_event_id, service || ':' || name AS raw_event_name,
   WHEN 'AssumedRole' THEN role WHEN 'AWSService' THEN CASE WHEN n % 2 = 0 THEN 'lambda.amazonaws.com' ELSE 'aws-service' END
   ELSE 'P' || user_id END AS actor_id,
  CASE kind WHEN 'AssumedRole' THEN CASE WHEN n % 5 = 0 THEN 'ai_agent' ELSE 'service_account' END WHEN 'AWSService' THEN 'service_account' ELSE 'human' END AS actor_type,
- CASE WHEN n % 11 = 0 OR param = 'policyName' THEN '' ELSE pv END AS target_id,
- CASE WHEN n % 11 = 0 OR param = 'policyName' THEN '' ELSE CASE param WHEN 'roleName' THEN 'iam_role' WHEN 'userName' THEN 'iam_user'
+ CASE WHEN {no_target} THEN '' ELSE pv END AS target_id,
+ CASE WHEN {no_target} THEN '' ELSE CASE param WHEN 'roleName' THEN 'iam_role' WHEN 'userName' THEN 'iam_user'
    WHEN 'groupName' THEN 'iam_group' WHEN 'policyArn' THEN 'iam_policy' WHEN 'bucketName' THEN 's3_bucket'
    WHEN 'functionName' THEN 'lambda_function' WHEN 'instanceId' THEN 'ec2_instance' ELSE 'iam_role' END END AS target_type,
- CASE WHEN n % 11 = 0 OR param = 'policyName' THEN '' WHEN param IN ('policyArn', 'roleArn') THEN 'T' || (n % 100) ELSE pv END AS target_name,
+ CASE WHEN {no_target} THEN '' WHEN param IN ('policyArn', 'roleArn') THEN 'T' || (n % 100) ELSE pv END AS target_name,
  event_type <> 'error' AS success,
  name IN ('CreateUser', 'AttachRolePolicy', 'AssumeRole', 'PutBucketPolicy', 'RunInstances', 'PutRolePolicy') AS is_privileged_action,
- name IN ('CreateUser', 'AttachRolePolicy', 'PutBucketPolicy', 'PutRolePolicy') AS is_config_change
-FROM trail WHERE (n % 4 <> 0 OR service IN ('iam', 'sts')) AND n % 50 <> 7""", TRAIL)
-def _(b):
-    records = cloudtrail.parse_records(payloads.trail_records(b))
-    return cloudtrail.normalise(records, "service").select(
+ name IN ('CreateUser', 'AttachRolePolicy', 'PutBucketPolicy', 'PutRolePolicy') AS is_config_change"""
+
+
+def service_view(events):
+    return events.select(
         "source_event_id", "raw_event_name", F.unix_micros("timestamp").alias("at"), "event_type", "actor_id",
         "actor_type", "target_id", "target_type", "target_name", "success", "is_privileged_action",
         "is_config_change",
     )
 
 
+@case("cloudtrail_service_events", f"""
+SELECT {service_columns("n % 11 = 0 OR param = 'policyName'")}
+FROM trail WHERE (n % 4 <> 0 OR service IN ('iam', 'sts')) AND n % 50 <> 7""", TRAIL)
+def _(b):
+    return service_view(cloudtrail.normalise(cloudtrail.parse_records(payloads.trail_records(b)), "service"))
+
+
 ARCHIVE_TYPE = """CASE WHEN service = 'iam' THEN CASE name WHEN 'CreateUser' THEN 'iam.create_user' WHEN 'AttachRolePolicy' THEN 'iam.attach_policy'
     WHEN 'PutRolePolicy' THEN 'iam.attach_policy' ELSE 'access.admin' END
   WHEN service = 'sts' THEN CASE name WHEN 'AssumeRole' THEN 'iam.assume_role' ELSE 'unknown' END
@@ -98,18 +106,17 @@ def _(b):
 
 
 @case("cloudtrail_lake_rows", f"""
-SELECT 'ev-' || n AS source_event_id, CASE kind WHEN 'Root' THEN 'root' ELSE 'P' || user_id END AS actor_id, event_type <> 'error' AS success
-FROM trail WHERE n % 50 <> 7 AND kind IN ('Root', 'SAMLUser')""", TRAIL)
+SELECT {service_columns("n % 17 = 3 OR n % 11 = 0 OR param = 'policyName'")} FROM trail WHERE n % 50 <> 7""", TRAIL)
 def _(b):
+    # All records in the flat form; the parameters of some cannot be read, and none tells whether it only reads.
     records = cloudtrail.parse_records(payloads.trail_records(b))
-    rows = records.where(F.col("userIdentity.type").isin("Root", "SAMLUser")).select(
+    number = F.substr("eventID", F.lit(4)).cast("bigint")
+    rows = records.select(
         "eventID", "eventTime", "eventName", "eventSource", F.to_json("userIdentity").alias("userIdentity"),
-        F.lit("not json").alias("requestParameters"), "sourceIPAddress", "userAgent",
-        F.coalesce("errorCode", F.lit("")).alias("errorCode"), "errorMessage",
-    )
-    return cloudtrail.normalise_service(cloudtrail.parse_lake_rows(rows)).select(
-        "source_event_id", "actor_id", "success"
+        F.when(number % 17 == 3, "{not json").otherwise(F.to_json("requestParameters")).alias("requestParameters"),
+        "sourceIPAddress", "userAgent", F.coalesce("errorCode", F.lit("")).alias("errorCode"), "errorMessage",
     )
+    return service_view(cloudtrail.normalise_service(cloudtrail.parse_lake_rows(rows)))
 
 
 @case("cloudtrail_lookup_rows", f"""
