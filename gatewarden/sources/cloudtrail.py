@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gatewarden.functions.scalars import as_of_lit, contains_any, fixed_map, iso_timestamp, starts_with_any
 from gatewarden.schemas import ACTIVITY_EVENT, nested
+from gatewarden.sources.files import first_files
 
 SOURCE = "aws_cloudtrail"
 
@@ -136,7 +137,7 @@ def read_archive(
 ) -> DataFrame:
     """Records of all (gzipped) JSON files below a folder.
 
-    ``max_files`` keeps the first files by path, ``max_events`` the first records by
+    ``max_files`` opens the first files by path only, ``max_events`` keeps the first records by
     path and position; both are off by default.
     """
     reader = (
@@ -144,11 +145,13 @@ def read_archive(
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
     )
+    if max_files is not None:
+        first = first_files(spark, path, max_files)
+        if not first:
+            return spark.createDataFrame([], T.StructType.fromDDL(RECORD))
+        path = first
     files = reader.json(path).select(F.col("_metadata.file_path").alias("file"), "Records")
     files = files.where(F.col("file").rlike(r"\.json(\.gz)?$"))
-    if max_files is not None:
-        listed = files.select("file").distinct().orderBy("file").limit(max_files)
-        files = files.join(listed, "file", "left_semi")
     records = files.select("file", F.posexplode("Records").alias("position", "record"))
     if max_events is not None:
         records = records.orderBy("file", "position").limit(max_events)
@@ -230,8 +233,6 @@ def _blank(name: str) -> Column:
 
 
 def _payload() -> Column:
-    from pyspark.sql import types as T
-
     return F.to_json(F.struct(*T.StructType.fromDDL(RECORD).fieldNames()))
 
 

@@ -251,20 +251,30 @@ def audit_tables(documents: DataFrame) -> dict[str, DataFrame]:
 
     ``role_pos`` is the place of the first mention of the role for the employee.
     """
-    rules = documents.select(F.posexplode(F.map_entries("sod_rules")).alias("rule_pos", "rule"))
+    # Documents are told apart by their content.
+    rules = documents.select(
+        F.xxhash64(F.to_json("sod_rules")).alias("document"), F.posexplode(F.map_entries("sod_rules")).alias("rule_pos", "rule")
+    )
     mentions = rules.select("rule_pos", F.posexplode("rule.value.user_roles").alias("pos", "entry")).select(
         F.col("entry.name").alias("name"), F.col("entry.role").alias("role"),
         F.struct("rule_pos", "pos").alias("place"),
     )
-    violators = rules.select(
-        F.col("rule.key").alias("rule_key"),
-        F.posexplode("rule.value.violating_users").alias("pos", "name"),
-        F.col("rule.value.user_roles").alias("user_roles"),
-    ).select(
-        "rule_key", "pos", "name",
-        F.transform(
-            F.filter("user_roles", lambda e: e["name"] == F.col("name")), lambda e: e["role"]
-        ).alias("roles"),
+    # A person's roles under one rule, in the order of their mention: a handful, met by a join.
+    held = (
+        rules.select("document", "rule_pos", F.posexplode("rule.value.user_roles").alias("pos", "entry"))
+        .groupBy("document", "rule_pos", F.col("entry.name").alias("name"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", F.col("entry.role").alias("role")))).alias("mentioned"))
+    )
+    violators = (
+        rules.select(
+            "document", "rule_pos", F.col("rule.key").alias("rule_key"),
+            F.posexplode("rule.value.violating_users").alias("pos", "name"),
+        )
+        .join(held, ["document", "rule_pos", "name"], "left")
+        .select(
+            "rule_key", "pos", "name",
+            F.coalesce(F.transform("mentioned", lambda m: m["role"]), F.array().cast("array<string>")).alias("roles"),
+        )
     )
     return {
         "employee": documents.select(F.explode("employees").alias("name")).distinct(),

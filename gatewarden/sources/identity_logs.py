@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewarden.functions.scalars import fixed_map, iso_timestamp
 from gatewarden.sources.cloudtrail import _blank, _finish, in_range
+from gatewarden.sources.files import log_manifest, read_by_manifest
 
 OKTA = "okta_syslog"
 OKTA_EVENT = (
@@ -185,6 +186,24 @@ def entra_sign_in_log(spark: SparkSession, path: str, since: str, until: str) ->
     return in_range(read_json_log(spark, path, ENTRA_SIGN_IN), "createdDateTime", since, until)
 
 
+# Feed: event schema and the column with an event's time.
+FEEDS = {
+    "okta": (OKTA_EVENT, "published"),
+    "entra_audit": (ENTRA_AUDIT, "activityDateTime"),
+    "entra_sign_in": (ENTRA_SIGN_IN, "createdDateTime"),
+}
+
+
+def manifest_of(spark: SparkSession, path: str, feed: str, known: DataFrame | None = None) -> DataFrame:
+    """Manifest rows of a feed's files that ``known`` lacks (see ``files.log_manifest``)."""
+    return log_manifest(spark, path, feed, *FEEDS[feed], known)
+
+
+def read_range(spark: SparkSession, manifest: DataFrame, feed: str, since: str, until: str) -> DataFrame:
+    """A feed's events in a closed time range, from the files that overlap it."""
+    return read_by_manifest(spark, manifest, feed, *FEEDS[feed], since, until)
+
+
 def parse_json(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """One JSON event per row."""
     return rows.select(F.from_json(column, schema).alias("r")).select("r.*")

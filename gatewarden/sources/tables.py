@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewarden.functions.scalars import as_of_lit
 from gatewarden.operators.access import active_pairs, subject_actions
 from gatewarden.plans.durable import materialize
 from gatewarden.schemas import TABLES, Estate
+from gatewarden.sources.files import split_lists
 
 KEPT_SNAPSHOTS = 100
-LABELS = "map<string,array<struct<violation_class:int,label:int,confidence:double>>>"
+ENTRIES = "array<struct<violation_class:int,label:int,confidence:double>>"
+LABELS = f"map<string,{ENTRIES}>"
 
 
 def write_feature_matrix(vectors: DataFrame, path: str) -> None:
@@ -51,22 +53,31 @@ def lookback(history: DataFrame, as_of: str, days: int) -> DataFrame:
     )
 
 
-def read_labels(spark: SparkSession, path: str, source: str, whole_file: bool = True) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
     """(source, pos, subject_id, violation_class, label, confidence) of label files.
 
-    A file is one JSON object {subject: [label, ...]}; with ``whole_file`` off every
-    line is one, which lets big files be split.
+    A file is one JSON object {subject: [label, ...]}, read by byte ranges (``files.split_lists``); with
+    ``lines`` every line is such an object. Files whose texts do not let themselves be split are read whole.
     """
-    text = spark.read.text(path, wholetext=whole_file)
-    return labels_from_json(text, source)
+    if lines:
+        return labels_from_json(spark.read.text(path), source)
+    entries, broken = split_lists(spark, path)
+    hard = [r.file for r in broken.collect()]
+    found = _label_rows(
+        entries.where(~F.col("file").isin(hard)) if hard else entries, F.col("key"), F.from_json("items", ENTRIES), source
+    )
+    return found.unionByName(labels_from_json(spark.read.text(hard, wholetext=True), source)) if hard else found
 
 
 def labels_from_json(text: DataFrame, source: str) -> DataFrame:
     """Rows of label JSON in column ``value``."""
     parsed = text.select(F.explode(F.from_json("value", LABELS)).alias("subject_id", "entries"))
-    return parsed.select("subject_id", F.posexplode("entries").alias("pos", "entry")).select(
-        F.lit(source).alias("source"), "pos", "subject_id", "entry.*"
-    )
+    return _label_rows(parsed, F.col("subject_id"), F.col("entries"), source)
+
+
+def _label_rows(lists: DataFrame, subject: Column, entries: Column, source: str) -> DataFrame:
+    rows = lists.select(subject.alias("subject_id"), F.posexplode(entries).alias("pos", "entry"))
+    return rows.select(F.lit(source).alias("source"), "pos", "subject_id", "entry.*")
 
 
 def append_audit(entries: DataFrame, path: str) -> None:

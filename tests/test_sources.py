@@ -30,6 +30,59 @@ def test_archive_files_gzip_and_bad_ones(spark, tmp_path):
     assert cloudtrail.read_archive(spark, str(tmp_path), max_events=2).count() == 2
 
 
+def test_first_files_alone_are_opened(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"Records": [record(i)]}))
+    two = cloudtrail.read_archive(spark, str(tmp_path), max_files=2)
+    assert len(two.inputFiles()) == 2 and rows(two, "eventID") == [("e0",), ("e1",)]
+    (tmp_path / "none").mkdir()
+    assert cloudtrail.read_archive(spark, str(tmp_path / "none"), max_files=2).count() == 0
+
+
+def test_manifest_opens_files_that_overlap(spark, tmp_path):
+    for day in range(10, 20):
+        folder = tmp_path / f"day +{day}"
+        folder.mkdir()
+        lines = [{"uuid": f"{day}-{h}", "published": f"2024-01-{day}T{h:02}:00:00Z"} for h in (1, 12, 23)] + [{"uuid": "x", "published": "never"}]
+        (folder / "log.json").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "undated.json").write_text(json.dumps({"uuid": "y"}))
+    manifest = identity_logs.manifest_of(spark, str(tmp_path), "okta")
+    assert manifest.count() == 11 and manifest.agg({"events": "sum"}).first()[0] == 41
+    found = identity_logs.read_range(spark, manifest, "okta", "2024-01-12 12:00:00", "2024-01-13 12:00:00")
+    assert len(found.inputFiles()) == 2
+    assert rows(found, "uuid") == [("12-12",), ("12-23",), ("13-1",), ("13-12",)]
+    assert identity_logs.read_range(spark, manifest, "okta", "2030-01-01 00:00:00", "2030-01-02 00:00:00").count() == 0
+    # Only files that came since are read for the next manifest rows.
+    (tmp_path / "new.json").write_text(json.dumps({"uuid": "z", "published": "2024-01-13T00:00:00Z"}))
+    more = identity_logs.manifest_of(spark, str(tmp_path), "okta", manifest)
+    assert [r.events for r in more.collect()] == [1]
+    assert identity_logs.manifest_of(spark, str(tmp_path), "okta", manifest.union(more)).count() == 0
+
+
+def test_one_label_file_feeds_many_tasks(spark, tmp_path):
+    from gatewarden.sources import tables
+
+    labels = {f"s{i}": [{"violation_class": c, "label": i % 2, "confidence": 0.5} for c in range(1, 4)] for i in range(4000)}
+    labels |= {'quo"ted, {key': [{"violation_class": 9, "label": 1}], "none": []}
+    for name, indent in (("a.json", None), ("b.json", 1)):
+        (tmp_path / "easy").mkdir(exist_ok=True)
+        (tmp_path / "easy" / name).write_text(json.dumps(labels, indent=indent))
+    (tmp_path / "hard").mkdir()
+    (tmp_path / "hard" / "c.json").write_text(json.dumps({"a]b": [{"violation_class": 1, "label": 1}], "c": [{"violation_class": 2, "label": 0}]}))
+    (tmp_path / "hard" / "d.json").write_text(json.dumps({}))
+    (tmp_path / "hard" / "e.json").write_text(json.dumps({"s": [{"violation_class": 3, "label": 1}]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = tables.read_labels(spark, str(tmp_path / "easy"), "human")
+        assert got.rdd.getNumPartitions() > 4
+        wanted = sorted((s, p, e["violation_class"], e["label"]) for s, es in labels.items() for p, e in enumerate(es) for _ in "ab")
+        assert rows(got, "subject_id", "pos", "violation_class", "label") == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    hard = tables.read_labels(spark, str(tmp_path / "hard"), "human")
+    assert rows(hard, "subject_id", "violation_class", "label") == [("a]b", 1, 1), ("c", 2, 0), ("s", 3, 1)]
+
+
 def test_dated_archive_prunes_days(spark, tmp_path):
     for day in ("2024-01-14", "2024-01-15", "2024-01-16"):
         folder = tmp_path / f"day={day}"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatewarden import bind
-from gatewarden.functions.scalars import entity_id
+from gatewarden.functions.scalars import entity_id, iso_timestamp
 from gatewarden.operators import findings
 from gatewarden.operators.peers import peer_department
 from gatewarden.sources import cloud_iam, cloudtrail, directories, erp, identity_logs, posture, tables, tenants
@@ -735,3 +735,91 @@ def label_json(b):
             F.create_map(F.concat(F.lit("S"), k.cast("string")), F.array(*[entry(c) for c in (1, 2, 3)]))
         ).alias("value")
     )
+
+
+# --- readers over landed files -----------------------------------------------------------
+
+
+def by_day(b, rows, name, time_column):
+    """Log lines as files, one folder per day of the events."""
+    path = _scratch(b, name)
+    day = F.coalesce(F.substr(F.get_json_object("value", f"$.{time_column}"), F.lit(1), F.lit(10)), F.lit("none"))
+    rows.withColumn("day", day).repartition("day").write.partitionBy("day").text(path)
+    return path
+
+
+FROM, TO = "2024-01-10 06:00:00", "2024-01-12 12:00:00"
+
+
+def feed_range(b, feed, rows):
+    path = by_day(b, rows, f"log-{feed}", identity_logs.FEEDS[feed][1])
+    return identity_logs.read_range(b.spark, identity_logs.manifest_of(b.spark, path, feed), feed, FROM, TO)
+
+
+def range_sql(prefix, dated="true"):
+    return f"""
+SELECT '{prefix}-' || event_id AS event, epoch_us({ISO}) AS at FROM events
+WHERE {dated} AND {ISO} BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"""
+
+
+def event_times(events, name, time_column):
+    return events.select(F.col(name).alias("event"), F.unix_micros(iso_timestamp(F.col(time_column))).alias("at"))
+
+
+@case("okta_log_range", range_sql("o", "event_id % 50 <> 7"))
+def _(b):
+    return event_times(feed_range(b, "okta", payloads.okta_events(b)), "uuid", "published")
+
+
+@case("entra_audit_log_range", range_sql("a"))
+def _(b):
+    return event_times(feed_range(b, "entra_audit", payloads.entra_audits(b)), "id", "activityDateTime")
+
+
+@case("entra_sign_in_log_range", range_sql("s"))
+def _(b):
+    return event_times(feed_range(b, "entra_sign_in", payloads.entra_sign_ins(b)), "id", "createdDateTime")
+
+
+@case("log_manifest", f"""
+SELECT strftime({ISO}, '%Y-%m-%d') AS day, epoch_us(min({ISO})) AS first_at, epoch_us(max({ISO})) AS last_at, count(*) AS events FROM events GROUP BY 1""")
+def _(b):
+    path = by_day(b, payloads.entra_sign_ins(b), "log-manifest", "createdDateTime")
+    files = identity_logs.manifest_of(b.spark, path, "entra_sign_in")
+    return files.groupBy(F.regexp_extract("file", "day=([0-9-]+)", 1).alias("day")).agg(
+        F.unix_micros(F.min("first_at")).alias("first_at"), F.unix_micros(F.max("last_at")).alias("last_at"), F.sum("events").alias("events")
+    )
+
+
+def documents_of(b, rows, name, key, opening, closing):
+    """JSON documents of many entries each: one per value of ``key``."""
+    path = _scratch(b, name)
+    text = F.concat(F.lit(opening), F.listagg("value", F.lit(",")), F.lit(closing))
+    rows.groupBy(key.alias("part")).agg(text.alias("value")).select("value", "part").write.partitionBy("part").text(path)
+    return path
+
+
+@case("cloudtrail_archive_read", """
+SELECT 'ev-' || event_id AS source_event_id, event_type <> 'error' AS success FROM events""")
+def _(b):
+    records = cloudtrail.parse_records(payloads.trail_records(b))
+    path = _scratch(b, "archive")
+    documents = records.groupBy((F.crc32("eventID") % 7).alias("part")).agg(F.collect_list(F.struct(*records.columns)).alias("Records"))
+    documents.write.partitionBy("part").json(path)
+    return cloudtrail.normalise(cloudtrail.read_archive(b.spark, path), "archive").select("source_event_id", "success")
+
+
+@case("label_documents", """
+SELECT 'human' AS source, 'S' || c_custkey AS subject_id, c AS violation_class, (c_custkey + c) % 2 AS label, c - 1 AS pos
+FROM customer, (SELECT unnest([1, 2, 3]) AS c)""")
+def _(b):
+    k = F.col("c_custkey")
+    entries = F.transform(
+        F.sequence(F.lit(1), F.lit(3)),
+        lambda c: F.struct(c.alias("violation_class"), ((k + c) % 2).cast("int").alias("label"), F.lit(0.5).alias("confidence")),
+    )
+    rows = b.table("customer").select(
+        "c_custkey", F.concat(F.lit('"S'), k.cast("string"), F.lit('": '), F.to_json(entries)).alias("value")
+    )
+    path = documents_of(b, rows, "label-documents", k % 5, "{", "}")
+    return tables.read_labels(b.spark, path, "human").select("source", "subject_id", "violation_class", "label", "pos")
