@@ -191,17 +191,72 @@ def mfa_usage_rate(mfa_enabled: Column) -> Column:
     return F.when(mfa_enabled.isNull(), 0.5).when(mfa_enabled, 1.0).otherwise(0.0)
 
 
+#: Size of distinct-count sketches as a power of two; the standard error is 1.04 / sqrt(2 ** 14), 0.8 %.
+SKETCH_SIZE = 14
+
+
 def event_log_statistics(events: DataFrame) -> DataFrame:
-    """One row: totals, distinct actors, actions and addresses, flags, time range."""
-    return events.agg(
+    """One row: totals, distinct actors, actions and addresses, flags, time range.
+
+    Exact, with one exchange: each event gives its three values, equal values are combined map-side
+    together with the totals (which ride on the actors), and what is left is one row per distinct value.
+    """
+    values = (F.col("actor_id"), F.col("raw_event_name"), F.nullif("source_ip", F.lit("")))
+    cells = (
+        events.select(
+            F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for kind, v in enumerate(values)])).alias("v"),
+            "is_privileged_action", "success", "timestamp",
+        )
+        .groupBy("v.kind", "v.value")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("is_privileged_action")).alias("privileged"),
+            F.count_if(~F.col("success")).alias("errors"),
+            F.min("timestamp").alias("first_at"),
+            F.max("timestamp").alias("last_at"),
+        )
+    )
+    own = lambda column: F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col(column))), F.lit(0))
+    distinct = [F.count_if((F.col("kind") == kind) & F.col("value").isNotNull()) for kind in range(3)]
+    return cells.agg(
+        own("n").alias("total_events"),
+        distinct[0].alias("unique_subjects"),
+        distinct[1].alias("unique_actions"),
+        distinct[2].alias("unique_ips"),
+        own("privileged").alias("privileged_events"),
+        own("errors").alias("error_events"),
+        F.min("first_at").alias("time_range_start"),
+        F.max("last_at").alias("time_range_end"),
+    )
+
+
+def daily_sketches(events: DataFrame) -> DataFrame:
+    """(day, source, ...): counts and mergeable distinct-count sketches, a few kilobytes per day, to be stored and added to."""
+    address = F.nullif("source_ip", F.lit(""))
+    return events.groupBy(F.date_trunc("day", "timestamp").alias("day"), "source").agg(
         F.count(F.lit(1)).alias("total_events"),
-        F.countDistinct("actor_id").alias("unique_subjects"),
-        F.countDistinct("raw_event_name").alias("unique_actions"),
-        F.countDistinct(F.nullif("source_ip", F.lit(""))).alias("unique_ips"),
+        F.hll_sketch_agg("actor_id", F.lit(SKETCH_SIZE)).alias("subjects"),
+        F.hll_sketch_agg("raw_event_name", F.lit(SKETCH_SIZE)).alias("actions"),
+        F.hll_sketch_agg(address, F.lit(SKETCH_SIZE)).alias("ips"),
         F.count_if(F.col("is_privileged_action")).alias("privileged_events"),
         F.count_if(~F.col("success")).alias("error_events"),
-        F.min("timestamp").alias("time_range_start"),
-        F.max("timestamp").alias("time_range_end"),
+        F.min("timestamp").alias("first_at"),
+        F.max("timestamp").alias("last_at"),
+    )
+
+
+def statistics_of_days(days: DataFrame) -> DataFrame:
+    """The columns of :func:`event_log_statistics` over any set of days, distinct counts estimated from their sketches."""
+    estimate = lambda column: F.hll_sketch_estimate(F.hll_union_agg(column))
+    return days.agg(
+        F.sum("total_events").alias("total_events"),
+        estimate("subjects").alias("unique_subjects"),
+        estimate("actions").alias("unique_actions"),
+        estimate("ips").alias("unique_ips"),
+        F.sum("privileged_events").alias("privileged_events"),
+        F.sum("error_events").alias("error_events"),
+        F.min("first_at").alias("time_range_start"),
+        F.max("last_at").alias("time_range_end"),
     )
 
 

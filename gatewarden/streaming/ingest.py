@@ -86,13 +86,13 @@ def daily_summary(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def daily_activity(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Per day and actor: calls, and an estimate of distinct addresses."""
+    """Per day and actor: calls, and a sketch of the addresses, which merges over days."""
     return (
         events.withWatermark("timestamp", lateness)
         .groupBy(F.window("timestamp", "1 day").alias("day"), "actor_id")
         .agg(
             F.count(F.lit(1)).alias("calls"),
-            F.approx_count_distinct(F.nullif("source_ip", F.lit(""))).alias("addresses"),
+            F.hll_sketch_agg(F.nullif("source_ip", F.lit(""))).alias("addresses"),
         )
         .select(F.col("day.start").alias("day"), "actor_id", "calls", "addresses")
     )
@@ -134,11 +134,14 @@ def thirty_day_addresses(days: DataFrame, as_of: str) -> DataFrame:
 
 
 def thirty_day_rollup(days: DataFrame, as_of: str) -> DataFrame:
-    """Batch rollup of :func:`daily_activity` output: calls per day over 30 whole days."""
+    """Batch rollup of :func:`daily_activity` output: calls per day over 30 whole days, and estimated addresses."""
     return (
         _last_thirty_days(days, as_of)
         .groupBy("actor_id")
-        .agg((F.sum("calls") / F.lit(30.0)).alias("avg_daily_api_calls_30d"))
+        .agg(
+            (F.sum("calls") / F.lit(30.0)).alias("avg_daily_api_calls_30d"),
+            F.hll_sketch_estimate(F.hll_union_agg("addresses")).alias("estimated_source_ips_30d"),
+        )
     )
 
 

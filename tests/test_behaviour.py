@@ -61,3 +61,27 @@ def test_only_reported_steps_count(spark):
     assert got == {"a": ("not_run", 0, None), "b": ("running", 1, None), "c": ("completed", 1, None), "d": ("failed", 1, 2)}
     dry = remediation.execution_ledger(steps, results.limit(0), dry_run=True).collect()
     assert {(r.status, r.failed_step) for r in dry} == {("dry_run", None)}
+
+
+def test_sketches_of_days_merge(spark, estate_of):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    events = [
+        {"id": str(i), "source": "x", "actor_id": f"a{i % 3000}", "raw_event_name": None if i % 7 == 0 else f"n{i % 11}", "source_ip": "" if i % 5 == 0 else f"ip{i % 40}",
+         "timestamp": start + timedelta(minutes=i * 5), "success": i % 2 == 0, "is_privileged_action": i % 3 == 0}
+        for i in range(9000)
+    ]
+    table = estate_of(event=events).event
+    exact = behaviour.event_log_statistics(table).first()
+    assert (exact.total_events, exact.unique_subjects, exact.unique_actions, exact.unique_ips) == (9000, 3000, 11, 32)
+    assert (exact.error_events, exact.privileged_events) == (4500, 3000)
+    days = behaviour.daily_sketches(table)
+    merged = behaviour.statistics_of_days(days).first()
+    assert abs(merged.unique_subjects - 3000) <= 4 * 0.0082 * 3000 and (merged.unique_actions, merged.unique_ips) == (11, 32)
+    assert (merged.total_events, merged.time_range_end) == (9000, exact.time_range_end)
+    # A few days are merged from the same stored rows.
+    some = behaviour.statistics_of_days(days.where("day < '2024-01-03'")).first()
+    assert some.total_events == 2 * 288
+    none = behaviour.event_log_statistics(table.limit(0)).first()
+    assert (none.total_events, none.unique_subjects, none.time_range_start) == (0, 0, None)

@@ -6,6 +6,7 @@ from gatewarden import bind
 from gatewarden.functions.scalars import as_of_lit, clean_email, clean_name, entity_id, erp_key, whole_days
 from gatewarden.operators import access, behaviour, drift, escalation, features, graph, identity, peers, sod
 from verification.binding_sql import AS_OF, DRIFT_AS_OF, EVENT_AS_OF, days
+from gatewarden.plans.durable import materialize
 from verification.registry import case, joined, r6
 
 
@@ -289,6 +290,17 @@ def _(b):
     )
 
 
+@case("event_log_sketches", """
+SELECT count(*) AS total_events, true AS subjects_within, true AS actions_within, true AS ips_within, epoch_us(max(ts)) AS range_end FROM event""")
+def _(b):
+    # Days stored apart and merged; estimates stand within four standard errors of the exact counts.
+    days = materialize(behaviour.daily_sketches(b.estate.event), "daily-sketches")
+    exact = behaviour.event_log_statistics(b.estate.event).select(*[F.col(f"unique_{c}").alias(f"exact_{c}") for c in ("subjects", "actions", "ips")])
+    merged = behaviour.statistics_of_days(days).join(exact)
+    within = lambda c: (F.abs(F.col(f"unique_{c}") - F.col(f"exact_{c}")) <= 0.0325 * F.col(f"exact_{c}")).alias(f"{c}_within")
+    return merged.select("total_events", within("subjects"), within("actions"), within("ips"), F.unix_micros("time_range_end").alias("range_end"))
+
+
 @case("event_type_distribution", """
 SELECT event_type, count(*) AS n FROM event GROUP BY 1 ORDER BY n DESC, event_type LIMIT 20""")
 def _(b):
