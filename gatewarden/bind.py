@@ -14,6 +14,8 @@ from gatewarden.schemas import Estate
 AS_OF = "2002-01-01 00:00:00"
 EVENT_AS_OF = "2024-01-31 00:00:00"
 DRIFT_AS_OF = "2001-08-02 00:00:00"
+# Events whose action starts with this stand for access reviews.
+REVIEW_PREFIX = "svc0:"
 
 SOURCE_NAMES = ("aws_iam", "okta", "entra", "netsuite", "healthcare")
 FIRST_ACTIONS = (

@@ -344,7 +344,7 @@ SELECT actor_id AS subject_id, {days(EVENT_AS_OF, 'max(ts)')} AS days_since_last
 JOIN subject s ON s.id = actor_id WHERE raw_event_name LIKE 'svc0:%' GROUP BY 1""")
 def _(b):
     return drift.days_since_review(
-        b.estate, bind.EVENT_AS_OF, F.startswith("raw_event_name", F.lit("svc0:"))
+        b.estate, bind.EVENT_AS_OF, F.startswith("raw_event_name", F.lit(bind.REVIEW_PREFIX))
     )
 
 

@@ -11,6 +11,7 @@ from gatewarden.plans.durable import durable_root, materialize
 from gatewarden.sources import cloudtrail, identity_logs, tables
 from gatewarden.streaming import ingest
 from verification import payloads
+from verification.binding_sql import EVENT_AS_OF, days
 from verification.cases_rules import EXTRA, SQL
 from verification.cases_signals import LABELS, CountsOnly
 from verification.cases_sources import _scratch, label_json
@@ -164,6 +165,41 @@ def _(b):
     return vectors.select("subject_id", F.array_join(F.transform(vector_to_array("features"), lambda v: F.round(v, 6).cast("string")), " ").alias("vector"))
 
 
+# Vector columns that SQL can state, by name; the others are the hashed department and columns checked on their own.
+VECTOR_VALUES = (
+    "account_age_days", "days_since_last_activity", "total_permissions", "privileged_permissions", "source_system_count",
+    "unique_resources_reachable", "permission_to_peer_median_ratio", "usage_ratio", "login_time_entropy", "distinct_source_ips_30d",
+    "mfa_usage_rate", "degree_centrality", "distance_to_nearest_critical_resource", "escalation_paths_through_identity",
+    "permissions_added_30d", "permissions_removed_30d", "permissions_added_90d", "permissions_removed_90d", "net_drift_rate",
+    "days_since_last_access_review", "cross_system_consistency_score", "sod_pair_membership_count",
+)
+
+
+@case("vector_values", f"""
+SELECT f.subject_id, f.account_age_days, f.days_since_last_activity, f.total_permissions, f.privileged_permissions, f.source_system_count,
+ coalesce(r.n, 0) AS unique_resources_reachable, CASE WHEN f.type = 'group' THEN NULL ELSE round(f.permission_to_peer_median_ratio, 6) END AS permission_to_peer_median_ratio,
+ round(f.usage_ratio, 6) AS usage_ratio, round(f.login_time_entropy, 6) AS login_time_entropy, f.distinct_source_ips_30d, f.mfa_usage_rate,
+ round(coalesce(g.degree, 0) / ((SELECT count(*) FROM node) - 1)::DOUBLE, 6) AS degree_centrality,
+ coalesce(x.distance, -1) AS distance_to_nearest_critical_resource, coalesce(e.n, 0) AS escalation_paths_through_identity,
+ f.permissions_added_30d, f.permissions_removed_30d, f.permissions_added_90d, f.permissions_removed_90d, round(f.net_drift_rate, 6) AS net_drift_rate,
+ coalesce(v.age, -1) AS days_since_last_access_review, round(f.cross_system_consistency_score, 6) AS cross_system_consistency_score, f.sod_pair_membership_count
+FROM feature f LEFT JOIN (SELECT subject_id, count(*) AS n FROM reach GROUP BY 1) r ON r.subject_id = f.subject_id
+LEFT JOIN (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) g ON g.node = 'subject:' || f.subject_id
+LEFT JOIN (SELECT node, min(distance) AS distance FROM distance GROUP BY 1) x ON x.node = 'subject:' || f.subject_id
+LEFT JOIN (SELECT subject_id, count(*) AS n FROM path GROUP BY 1) e ON e.subject_id = f.subject_id
+LEFT JOIN (SELECT actor_id, {days(EVENT_AS_OF, 'max(ts)')} AS age FROM event WHERE raw_event_name LIKE 'svc0:%' GROUP BY 1) v ON v.actor_id = f.subject_id""")
+def _(b):
+    from pyspark.ml.functions import vector_to_array
+
+    vectors = feats.flat_vectors(b.features).withColumn("v", vector_to_array("features"))
+    value = lambda n: F.get("v", F.lit(feats.SUBJECT_VECTOR.index(n)))
+    is_group = value("type_code") == feats.TYPE_CODES["group"]
+    columns = [r6(value(n), n) for n in VECTOR_VALUES if n != "permission_to_peer_median_ratio"]
+    # Groups have no peers; their ratio is checked with the peer queries.
+    ratio = F.when(~is_group, F.round(value("permission_to_peer_median_ratio"), 6) + 0.0).alias("permission_to_peer_median_ratio")
+    return vectors.select("subject_id", *columns, ratio)
+
+
 @case("subject_features", """
 SELECT subject_id, account_age_days, days_since_last_activity, total_permissions, privileged_permissions, round(permission_to_peer_median_ratio, 6) AS ratio,
  source_system_count, round(usage_ratio, 6) AS usage_ratio, distinct_source_ips_30d, round(login_time_entropy, 6) AS login_time_entropy,

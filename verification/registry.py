@@ -61,7 +61,10 @@ class Bound:
 
     @cached_property
     def features(self) -> DataFrame:
-        settings = features.FeatureSettings(bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF)
+        settings = features.FeatureSettings(
+            bind.AS_OF, bind.EVENT_AS_OF, bind.DRIFT_AS_OF,
+            review_events=F.startswith("raw_event_name", F.lit(bind.REVIEW_PREFIX)),
+        )
         return self.shared(
             "features",
             lambda: features.subject_features(self.kept.estate, settings, self.kept.members, self.pairs),
