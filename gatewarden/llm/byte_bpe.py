@@ -54,13 +54,13 @@ WITH RECURSIVE steps AS (
      CASE WHEN s.p = e.here THEN e.nxt WHEN s.np = e.here THEN e.tok ELSE s.nxt END,
      e.w IS NULL
    FROM steps s LEFT JOIN pair e ON e.w = s.w WHERE NOT s.finished AND (e.w IS NULL OR s.p <> e.gone)))
-SELECT w, list(tok ORDER BY p) AS ids FROM steps WHERE finished GROUP BY w
+SELECT w, tok FROM steps WHERE finished ORDER BY w, p
 """
 
 # One thread and an ordered input: the texts' rows reach the aggregate in their order.
 _DECODE = """
-SELECT t, string_agg(hexed, '') AS hexed
-FROM (SELECT t, hexed FROM given JOIN vocabulary USING (tok) ORDER BY t, pos) GROUP BY t
+SELECT t, string_agg(chars, '') AS chars
+FROM (SELECT t, chars FROM given JOIN vocabulary USING (tok) ORDER BY t, pos) GROUP BY t
 """
 
 
@@ -97,8 +97,9 @@ class Codec:
         kind = pa.int32()
         left, right, rank = zip(*merges, strict=True) if merges else ((), (), ())
         self._table("merges", {"l": pa.array(left, kind), "r": pa.array(right, kind), "rank": pa.array(rank, kind)})
-        hexed = [token.hex() for token in ranks]
-        self._table("vocabulary", {"tok": pa.array(list(ranks.values()), kind), "hexed": pa.array(hexed)})
+        # A character per byte, since a token need not be UTF-8.
+        chars = [token.decode("latin-1") for token in ranks]
+        self._table("vocabulary", {"tok": pa.array(list(ranks.values()), kind), "chars": pa.array(chars)})
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -133,11 +134,11 @@ class Codec:
             "tok": pa.array(self.byte[np.frombuffer(b"".join(raw for _, raw in portion), np.uint8)]),
         }
         found = self._answer("start", start, _MERGE)
-        lists = found["ids"]
-        flat = np.asarray(lists.values, "<i4").tobytes()
-        offsets = (np.asarray(lists.offsets) * 4).tolist()
-        for w, begin, end in zip(found["w"].to_pylist(), offsets, offsets[1:]):
-            self.ids[portion[w][0]] = flat[begin:end]
+        w, flat = np.asarray(found["w"]), np.asarray(found["tok"], "<i4").tobytes()
+        begins = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        ends = np.r_[begins[1:], len(w)]
+        for piece, begin, end in zip(w[begins].tolist(), (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
+            self.ids[portion[piece][0]] = flat[begin:end]
 
     def _answer(self, name: str, columns: dict[str, pa.Array], sql: str) -> dict[str, pa.Array]:
         self.con.register(name, pa.table(columns))
@@ -157,8 +158,8 @@ class Codec:
         decoded = [b""] * len(ids)
         if len(flat):
             found = self._answer("given", given, _DECODE)
-            for t, hexed in zip(found["t"].to_pylist(), found["hexed"].to_pylist()):
-                decoded[t] = bytes.fromhex(hexed)
+            for t, chars in zip(found["t"].to_pylist(), found["chars"].to_pylist()):
+                decoded[t] = chars.encode("latin-1")
         return decoded
 
     def contracted(self, raw: bytes) -> list[int]:
