@@ -7,6 +7,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from gatewarden.operators import policies as pol, predicates, suggestions
+from verification import QUERIES
 
 VALUES = [None, 0, 5, 5.0, "5", "human", True, False]
 THRESHOLDS = [None, 5, 4.5, "human", "5", True, [5, "human"], [None], [1], "a human here", []]
@@ -154,6 +155,37 @@ def test_similar_sets_lose_no_pair(spark):
     assert pairs.count() <= len({(kind(i), frozenset(s)) for i, s in named.items()}) ** 2 / 2
 
 
+def test_query_names_what_is_like_every_policy(spark, tmp_path):
+    """The rows of the query give back every pair of alike policies, and each policy's number of them."""
+    spark.range(1, 190).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["similar_policies"](spark, str(tmp_path)).collect()
+    mask = {f"Q{i}": i % 32 for i in range(1, 190) if i % 5 and i % 32}
+    want = {
+        (a, b) for a, m in mask.items() for b, n in mask.items()
+        if a != b and m % 2 == n % 2 and 2 * (m & n).bit_count() >= (m | n).bit_count()
+    }
+    holders = {}
+    for x in got:
+        holders.setdefault((x["category"], x["features"]), set()).add(x["policy_id"])
+    pairs = {(x["policy_id"], other) for x in got for other in holders[x["category"], x["other"]]}
+    assert {p for p, _ in pairs} == set(mask)
+    assert {(a, b) for a, b in pairs if a != b} == want
+    assert sum(x["links"] for x in got) == len(want)
+
+
+def test_links_of_a_set_that_nobody_shares(spark):
+    p, r, c = tables(
+        spark, [{"id": x} for x in "abcd"] + [{"id": "other", "category": "custom"}], [],
+        [("a", 0, 0, "x", "gt", "1"), ("a", 0, 1, "y", "gt", "1"), ("b", 0, 0, "x", "lt", "1"), ("d", 0, 0, "x", "lt", "1"),
+         ("c", 0, 0, "z", "gt", "1"), ("other", 0, 0, "x", "gt", "1")],
+    )
+    got = pol.policy_links(*pol.similar_policies(p, c))
+    assert sorted((x["policy_id"], tuple(x["other"]), x["similarity"], x["links"]) for x in got.collect()) == [
+        ("a", ("x",), 0.5, 2), ("a", ("x", "y"), 1.0, 0), ("b", ("x",), 1.0, 1), ("b", ("x", "y"), 0.5, 1),
+        ("c", ("z",), 1.0, 0), ("d", ("x",), 1.0, 1), ("d", ("x", "y"), 0.5, 1), ("other", ("x",), 1.0, 0),
+    ]
+
+
 def naive_evaluation(subjects, values, policies, rules, conditions):
     """Every subject against every policy."""
     nested = pol.nested_rules(policies, rules, conditions).withColumnRenamed("id", "policy_id")

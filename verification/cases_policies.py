@@ -255,18 +255,15 @@ FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 32 > 0"""}
 
 
 @case("similar_policies", """
-SELECT a.category, a.features, b.features AS other, round(bit_count(a.mask & b.mask) / bit_count(a.mask | b.mask)::DOUBLE, 6) AS similarity
-FROM (SELECT DISTINCT category, features, mask FROM policy_set) a JOIN (SELECT DISTINCT category, features, mask FROM policy_set) b
-ON a.category = b.category AND a.features < b.features WHERE 2 * bit_count(a.mask & b.mask) >= bit_count(a.mask | b.mask)""", SETS)
+SELECT a.policy_id, a.category, a.features, b.features AS other, round(bit_count(a.mask & b.mask) / bit_count(a.mask | b.mask)::DOUBLE, 6) AS similarity,
+  b.policies - CASE WHEN a.features = b.features THEN 1 ELSE 0 END AS links
+FROM policy_set a JOIN (SELECT category, features, mask, count(*) AS policies FROM policy_set GROUP BY category, features, mask) b
+ON a.category = b.category AND 2 * bit_count(a.mask & b.mask) >= bit_count(a.mask | b.mask)""", SETS)
 def _(b):
+    # What is like every policy? The policies of a set are its rows with similarity 1.
     policies, _, conditions = many_policies(b)
-    pairs, members = pol.similar_policies(policies, conditions)
-    sets = members.select("category", "set_id", joined("features")).distinct()
-    other = sets.select("category", F.col("set_id").alias("other_id"), F.col("features").alias("other"))
-    both = pairs.join(sets, ["category", "set_id"]).join(other, ["category", "other_id"])
-    return both.select(
-        "category", F.least("features", "other").alias("features"), F.greatest("features", "other").alias("other"), r6("similarity")
-    )
+    links = pol.policy_links(*pol.similar_policies(policies, conditions))
+    return links.select("policy_id", "category", joined("features"), joined("other"), r6("similarity"), "links")
 
 
 @case("similar_policy_sets", "SELECT policy_id, category, features FROM policy_set", SETS)
