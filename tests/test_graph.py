@@ -3,7 +3,9 @@ from collections import defaultdict, deque
 
 from helpers import as_dict, grant, permission, resource, rows, subject
 
-from gatewarden.operators import graph
+import numpy as np
+
+from gatewarden.operators import backward, graph
 
 
 def test_manager_depth_walks(spark, estate_of):
@@ -200,3 +202,30 @@ def test_reach_lists(spark, estate_of):
     assert rows(graph.escalation_resources(e), "subject_id", "path_id", "end_result", "steps") == [("b", "e1", "admin", 0)]
     counts = {r["subject_id"]: tuple(r)[1:] for r in graph.blast_radius(e).collect()}
     assert counts == {"a": (200, 5, 0, 200), "b": (4, 1, 1, 5), "c": (0, 0, 0, 0)}
+
+
+def test_betweenness_takes_no_pairs_of_source_and_vertex(estate_of, monkeypatch):
+    e = random_estate(estate_of, 8)
+    by_source = as_dict(graph.betweenness_centrality(e, pairs_per_batch=1 << 30), "subject_id", "betweenness_centrality")
+    # Paths are followed back from their ends: no batch of sources is searched.
+    monkeypatch.setattr(graph, "_dependencies", None)
+    # A block of its own for every few resources.
+    monkeypatch.setattr(backward, "BLOCK_WEIGHT", 3)
+    got = as_dict(graph.betweenness_centrality(e), "subject_id", "betweenness_centrality")
+    assert set(got) == set(by_source) and all(abs(got[s] - by_source[s]) < 1e-12 for s in got)
+    assert any(got.values())
+
+
+def test_targets_are_halved_when_a_step_grows(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 40, (120, 2)), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]] + 100
+    links = backward.Subjects(pairs[:, 0], pairs[:, 1])
+    place = rng.integers(0, links.width, 60)
+    key = np.repeat(np.arange(6), 10) * links.width + place
+    distance, paths = rng.integers(1, 3, 60), rng.integers(1, 4, 60).astype(float)
+    whole, halved = np.zeros(links.width), np.zeros(links.width)
+    backward.add_dependencies(links, key, distance, paths, whole)
+    monkeypatch.setattr(backward, "MOST_ROWS", 1)
+    backward.add_dependencies(links, key, distance, paths, halved)
+    assert whole.any() and np.allclose(whole, halved)
