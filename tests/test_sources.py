@@ -276,3 +276,14 @@ def test_rejects_out_of_range(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (None,)], "c double")
     good, bad = reject_out_of_range(df, "c", 0.0, 1.0)
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_archive_files_stay_small_however_many_events(spark, tmp_path, monkeypatch):
+    from verification import QUERIES, cases_sources
+
+    monkeypatch.setattr(cases_sources, "ARCHIVE_RECORDS", 100)
+    monkeypatch.setattr(cases_sources, "_scratch", lambda b, name: f"file://{tmp_path}/{name}")
+    found = QUERIES["cloudtrail_archive_read"](spark, "/root/testdata/sf0.01")
+    assert found.select("source_event_id").distinct().count() == found.count() == 10_000
+    files = spark.read.option("recursiveFileLookup", True).json(f"file://{tmp_path}/archive")
+    assert files.count() == 107 and files.selectExpr("max(size(Records))").first()[0] < 200
