@@ -229,3 +229,16 @@ def test_targets_are_halved_when_a_step_grows(monkeypatch):
     monkeypatch.setattr(backward, "MOST_ROWS", 1)
     backward.add_dependencies(links, key, distance, paths, halved)
     assert whole.any() and np.allclose(whole, halved)
+
+
+def test_reach_and_links_come_from_kept_tables(estate_of):
+    e = sample(estate_of)
+    kept = e.with_derived(held_edge=graph.held_edges(e), permission_resource=graph.permission_resources(e))
+    columns = ("subject_id", "direct_resources", "critical_resources", "escalation_resources", "total_reach")
+    # Two permissions lead s1 to a critical resource each, and s2 twice to the same one.
+    wanted = [("g", 0, 0, 0, 0), ("s1", 2, 2, 0, 2), ("s2", 1, 2, 1, 2), ("s3", 0, 0, 0, 0)]
+    assert rows(graph.blast_radius(e), *columns) == rows(graph.blast_radius(kept), *columns) == wanted
+    assert rows(graph.edges(kept), "src", "dst", "edge_type") == rows(graph.edges(e), "src", "dst", "edge_type")
+    # Kept tables are what is read.
+    none = kept.with_derived(permission_resource=graph.permission_resources(e).where("false"))
+    assert {r[2] for r in rows(graph.edges(none), "src", "dst", "edge_type")} == {"manages", "has_permission", "member_of"}
